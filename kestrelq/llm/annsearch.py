@@ -92,7 +92,7 @@ def distances(vectors: np.ndarray, q: np.ndarray) -> np.ndarray:
 class Block:
     """Index of some vectors. Equal vectors are one point with its ids ascending."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, dims: int, leaf: int = 32, seed: int = 11):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, dims: int, leaf: int = 64, seed: int = 11):
         order = np.argsort(ids, kind="stable")
         ids, vectors = ids[order], vectors[order]
         unique, where = np.unique(vectors, axis=0, return_inverse=True)
@@ -147,7 +147,7 @@ def usable(embedding: Column) -> Column:
     return embedding.isNotNull() & F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < limit)) & F.exists(embedding, lambda x: x != 0)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 10, dims: int = 8, probability: float = 0.9, block: int = 16384) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 10, dims: int = 8, probability: float = 0.7, block: int = 16384) -> DataFrame:
     """vectors (vec_id, embedding) -> query_id, rank, vec_id, score: each query's k nearest found by
     Euclidean distance (all, if fewer), ties to the smaller id. A query meets vectors of its own
     dimension only. Rows with a null id take no part. Every vector is indexed."""
