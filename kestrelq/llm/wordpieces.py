@@ -38,7 +38,7 @@ def encoder(path: str) -> WordEncoder:
 
 
 class WordEncoder:
-    def __init__(self, path: str, cache_entries: int = 500_000):
+    def __init__(self, path: str, cache_entries: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -68,9 +68,9 @@ class WordEncoder:
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
         """Ids of chunks that the cache lacks; short ones are kept."""
         split = {c: _PIECES.findall(c) for c in chunks}
-        missing = sorted(p for p in set(chain.from_iterable(split.values())) if p not in self.pieces)
+        missing = [p for p in set(chain.from_iterable(split.values())) if p not in self.pieces]
         if len(self.pieces) + len(missing) > self.cache_entries:
-            missing = sorted(set(chain.from_iterable(split.values())))
+            missing = list(set(chain.from_iterable(split.values())))
             self.pieces = {}
         known = self.pieces
         long_pieces: dict[str, bytes] = {}
@@ -86,26 +86,21 @@ class WordEncoder:
             for p, b in zip(part, coded):
                 (known if len(p) <= _LONG else long_pieces)[p] = b
         out = {c: b"".join([known[p] if p in known else long_pieces[p] for p in pieces]) for c, pieces in split.items()}
-        if len(self.chunks) + len(out) > self.cache_entries:
-            self.chunks = {}
-        self.chunks.update((c, b) for c, b in out.items() if len(c) <= _LONG)
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
         split = [t.lower().split() if self._plain(t) else None for t in texts]
-        chunks = set(chain.from_iterable(x for x in split if x))
-        old = self.chunks
-        missing = {c for c in chunks if c not in old}
-        fresh = self._learn(missing) if missing else {}
-        if fresh and old is not self.chunks:  # the cache was emptied meanwhile
-            fresh = {**{c: old[c] for c in chunks if c in old}, **fresh}
-            get = fresh.__getitem__
-        elif fresh:
-            both = self.chunks
-            get = lambda c: both[c] if c in both else fresh[c]
-            if all(len(c) <= _LONG for c in fresh):
-                get = both.__getitem__
-        else:
-            get = old.__getitem__
-        return [self._whole(t) if x is None else b"".join(map(get, x)) for t, x in zip(texts, split)]
+        known = self.chunks
+        missing = {c for c in set(chain.from_iterable(x for x in split if x)) if c not in known}
+        if missing:
+            if len(known) + len(missing) > self.cache_entries:
+                known = self.chunks = {}
+                missing = set(chain.from_iterable(x for x in split if x))
+            known.update(self._learn(missing))
+        get = known.__getitem__
+        out = [self._whole(t) if x is None else b"".join(map(get, x)) for t, x in zip(texts, split)]
+        for c in missing:
+            if len(c) > _LONG:
+                del known[c]
+        return out
