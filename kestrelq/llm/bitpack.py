@@ -112,7 +112,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, segment_byt
         raw = write_segment(keys, docs, enc.vocabulary_size)
         return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((part, seg, len(keys), held // 4, raw), _SEGMENT.types)], schema=_SEGMENT)
 
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", max_rows=512, max_bytes=1 << 20):
         for key, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(texts(batch))):
             if docs and held + len(ids) > segment_bytes:
                 yield segment()

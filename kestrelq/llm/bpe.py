@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import claim, slices, texts
 
 #: The pattern of this vocabulary family, a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -47,6 +47,7 @@ def coder(path: str, leaf: int = 32) -> Coder:
     """One for each process, vocabulary and leaf size."""
     if (path, leaf) not in _CODERS:
         _CODERS[path, leaf] = Coder(path, leaf)
+    claim("bpe", _CODERS.clear)
     return _CODERS[path, leaf]
 
 

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -50,6 +50,17 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def claim(name: str, release: Callable[[], None]) -> None:
+    """Says that this process now holds a large table or cache, which release() empties; those that
+    other operators left in a reused worker go first."""
+    for other in [k for k in _HELD if k != name]:
+        _HELD.pop(other)()
+    _HELD[name] = release
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_rows: int = 4096, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most max_rows rows and, but for a single longer text, max_bytes of text."""
     for batch in batches:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import claim, slices, texts
 
 UNKNOWN = "und"
 _WORDY = re.compile(r"[^\W\d_]")
@@ -73,6 +73,7 @@ class Model:
         Rows 0 to size*size-1 are the order-2 contexts, for those that order 3 hasn't seen."""
         if self.key not in _TABLES:
             _TABLES.clear()
+            claim("langid", _TABLES.clear)
             _TABLES[self.key] = [self._table(*g) for g in self.grams]
         return _TABLES[self.key]
 

@@ -114,7 +114,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, capa
     enc, chunk = encoder(tokenizer), TaskContext.get().partitionId()
     tail = np.asarray([end_id], "<u4").tobytes()
     seen: dict[int, int] = {}
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", max_rows=512, max_bytes=1 << 20):
         rows = []
         for key, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(texts(batch))):
             ids += tail

@@ -14,6 +14,8 @@ from itertools import chain
 
 import numpy as np
 
+from .common import claim
+
 _LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _SPACE = "\t\n\x0b\f\r \x85\xa0"
@@ -34,11 +36,12 @@ def encoder(path: str) -> WordEncoder:
     """One for each process and vocabulary."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
+    claim("wordpieces", _ENCODERS.clear)
     return _ENCODERS[path]
 
 
 class WordEncoder:
-    def __init__(self, path: str, cache_entries: int = 800_000):
+    def __init__(self, path: str, cache_entries: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -53,7 +56,7 @@ class WordEncoder:
         self.ends = ends
         self.cache_entries = cache_entries
         self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.long: list[str] = []
 
     def _plain(self, text: str) -> bool:
         try:
@@ -65,28 +68,22 @@ class WordEncoder:
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of chunks that the cache lacks; short ones are kept."""
+    def _learn(self, chunks: set[str]) -> None:
+        """Adds the ids of chunks to the cache. A piece of a chunk is itself a chunk, so one cache serves both."""
+        known = self.chunks
         split = {c: _PIECES.findall(c) for c in chunks}
-        missing = [p for p in set(chain.from_iterable(split.values())) if p not in self.pieces]
-        if len(self.pieces) + len(missing) > self.cache_entries:
-            missing = list(set(chain.from_iterable(split.values())))
-            self.pieces = {}
-        known = self.pieces
-        long_pieces: dict[str, bytes] = {}
+        missing = [p for p in set(chain.from_iterable(split.values())) if p not in known]
         for at in range(0, len(missing), 4096):
             part = missing[at : at + 4096]
             ids = np.asarray(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(part):  # a piece without an end mark: each by itself
-                coded = [self._whole(p) for p in part]
+                known.update((p, self._whole(p)) for p in part)
             else:
                 raw, edges = ids.tobytes(), [0, *(cuts * 4).tolist()]
-                coded = [raw[edges[i] : edges[i + 1]] for i in range(len(part))]
-            for p, b in zip(part, coded):
-                (known if len(p) <= _LONG else long_pieces)[p] = b
-        out = {c: b"".join([known[p] if p in known else long_pieces[p] for p in pieces]) for c, pieces in split.items()}
-        return out
+                known.update((p, raw[edges[i] : edges[i + 1]]) for i, p in enumerate(part))
+        known.update((c, b"".join([known[p] for p in pieces])) for c, pieces in split.items())
+        self.long += [c for c in chain(missing, chunks) if len(c) > _LONG]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
@@ -97,10 +94,10 @@ class WordEncoder:
             if len(known) + len(missing) > self.cache_entries:
                 known = self.chunks = {}
                 missing = set(chain.from_iterable(x for x in split if x))
-            known.update(self._learn(missing))
+            self._learn(missing)
         get = known.__getitem__
         out = [self._whole(t) if x is None else b"".join(map(get, x)) for t, x in zip(texts, split)]
-        for c in missing:
-            if len(c) > _LONG:
-                del known[c]
+        for c in self.long:
+            known.pop(c, None)
+        self.long.clear()
         return out
