@@ -1,7 +1,8 @@
-"""Named queries over the star-schema tables, each with its SQL."""
+"""Named queries, each with its SQL."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,43 +12,34 @@ ORACLES: dict[str, str] = {}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-def tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
-    return [spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names]
-
-
 def sql_query(name: str, text: str, oracle: str | None = None) -> None:
     """A query whose Spark SQL is `text` over the named tables; the same text serves as oracle unless given."""
-    used = [t for t in TABLES if t in text]
+    used = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used}
-        return spark.sql(_bound(text, used), **frames)
+        for t in used:
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        return spark.sql(text)
 
     QUERIES[name] = run
     ORACLES[name] = text if oracle is None else oracle
 
 
-def _bound(text: str, used: list[str]) -> str:
-    """Table names as parameters of the session's SQL formatter, so no views are left behind."""
-    import re
+def query(name: str, oracle: str | None = None, *tables: str):
+    """Registers a function of DataFrames of the named tables."""
 
-    escaped = text.replace("{", "{{").replace("}", "}}")
-    return re.sub(r"(?<![\w.])(" + "|".join(used) + r")(?=\s+(?:AS\s+)?[a-z_]|\s*[,)\n]|\s*$)", lambda m: "{" + m[1] + "}" if _is_table(escaped, m) else m[1], escaped)
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables))
 
+        QUERIES[name] = run
+        if oracle:
+            ORACLES[name] = oracle
+        return f
 
-def _is_table(text: str, m) -> bool:
-    before = text[: m.start()].rstrip().lower()
-    return before.endswith(("from", "join"))
+    return add
 
 
-sql_query(
-    "pricing_summary",
-    """
-SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base_price,
-  round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price,
-  round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS sum_charge,
-  round(avg(l_quantity), 6) AS avg_qty, round(avg(l_discount), 6) AS avg_disc, count(*) AS count_order
-FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00'
-GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus
-""",
-)
+def load() -> None:
+    """Registers every query."""
+    from . import relational, retrieval, scalar  # noqa: F401
