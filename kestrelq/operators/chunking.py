@@ -10,40 +10,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_PARAGRAPH, _SENTENCE = re.compile(r"\n\s*\n"), re.compile(r"[.!?](?=\s)|\n")
+_SENTENCE = re.compile(r"\n|[.?!] ")
+_WORD_REST, _BLANKS = re.compile(r"\S*"), re.compile(r"\s*")
 
 
 def chunk_spans(text: str, size: int = 900, overlap: int = 0) -> list[tuple[int, int]]:
-    """(start, end). A chunk ends at a paragraph's end in its last 30 %, else a sentence's or line's end there,
-    else the last white space, else at `size`; the next starts `overlap` earlier, past a cut word and white space."""
-    if size <= 0 or overlap < 0 or overlap >= size:
-        raise ValueError("size must be positive and overlap smaller")
-    out, start, n = [], 0, len(text)
-    while start < n and text[start].isspace():
-        start += 1
-    while start < n:
-        end = min(n, start + size)
-        if end < n:
-            low = start + (size * 7 + 9) // 10
-            ends = [m.start() for m in _PARAGRAPH.finditer(text, low, end)] or [m.end() for m in _SENTENCE.finditer(text, low, min(n, end + 1)) if m.end() <= end]
-            if ends:
-                end = max(ends)
-            elif not text[end].isspace():
-                back = next((i for i in range(end - 1, start, -1) if text[i].isspace()), None)
-                end = back if back else end
-        stop = end
-        while stop > start and text[stop - 1].isspace():
-            stop -= 1
-        if stop > start:
-            out.append((start, stop))
-        after = max(end - overlap, start + 1) if end < n else n
-        if overlap and after < n and not text[after - 1].isspace():
-            while after < end and not text[after].isspace():
-                after += 1
-        while after < n and text[after].isspace():
-            after += 1
-        start = after
-    return out
+    """(start, end) of chunks that tile the text. A chunk ends after a blank line in its last 30 %, else after a
+    sentence or line there, else after its last white space, else at `size`. The next one begins `overlap`
+    characters earlier, moved on to a word's start."""
+    if size < 1 or not 0 <= overlap < size:
+        raise ValueError("size must be at least 1, and overlap from 0 up to below it")
+    spans: list[tuple[int, int]] = []
+    start, total = 0, len(text)
+    while start < total:
+        limit = start + size
+        if limit >= total:
+            spans.append((start, total))
+            break
+        tail = limit - size * 30 // 100
+        blank = text.rfind("\n\n", tail, limit)
+        sentences = [m.end() for m in _SENTENCE.finditer(text, tail, limit)] if blank < 0 else [blank + 2]
+        if sentences:
+            end = sentences[-1]
+        else:
+            words = text[start + 1 : limit]
+            kept = len(words) - len(re.split(r"\s", words)[-1])
+            end = start + 1 + kept if kept else limit
+        spans.append((start, end))
+        start = _resume(text, start, end, overlap) if overlap else end
+    return spans
+
+
+def _resume(text: str, start: int, end: int, overlap: int) -> int:
+    at = max(end - overlap, start + 1)
+    if not text[at - 1].isspace():
+        at = _WORD_REST.match(text, at, end).end()
+    return _BLANKS.match(text, at, end).end()
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], size: int, overlap: int, heading: str | None) -> Iterator[pa.RecordBatch]:

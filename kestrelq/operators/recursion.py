@@ -2,21 +2,35 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def checkpoints(spark: SparkSession) -> None:
+    """Makes sure that checkpoint() has a folder: the one that spark.checkpoint.dir names, which a cluster
+    must set; on one machine a folder of its own."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir():
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="kestrelq-"))
 
 
 def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int = 1000) -> DataFrame:
-    """Rows reachable from seed: step sees the new rows of the last round only (semi-naive). Lineage is cut
-    every few rounds with checkpoint() where the session has a checkpoint folder."""
-    found = fresh = seed.distinct()
-    cut = bool(seed.sparkSession.sparkContext.getCheckpointDir() or seed.sparkSession.conf.get("spark.checkpoint.dir", None))
+    """Rows reachable from seed: step sees the new rows of the last round only (semi-naive). Each round's new
+    rows are checkpointed, which cuts lineage; all found rows are brought together every few rounds."""
+    checkpoints(seed.sparkSession)
+    parts = int(seed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = fresh = seed.distinct().checkpoint()
     for i in range(rounds):
-        fresh = step(fresh).distinct().join(found, found.columns, "left_anti").persist()
+        fresh = step(fresh).distinct().join(found, found.columns, "left_anti").checkpoint()
         if fresh.isEmpty():
             return found
         found = found.unionByName(fresh)
-        if cut and i % 8 == 7:
-            found, fresh = found.checkpoint(), fresh.checkpoint()
+        if i % 4 == 3:
+            found = found.coalesce(parts).checkpoint()
     raise RuntimeError("the recursion did not end")
