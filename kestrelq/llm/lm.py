@@ -171,7 +171,7 @@ def _train(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
     m.set_flat(model.value.flat())
     part = TaskContext.get().partitionId()
     trainer, index, n = Trainer(m, seed=part), {w: i for i, w in enumerate(m.words)}, 0
-    for batch in slices(batches, "text", max_bytes=2 << 20):
+    for batch in slices(batches, "text", max_rows=1024, max_bytes=1 << 20):
         found = [tokens(t) for t in texts(batch)]
         ids = _ids(found, index, 0)
         one, two = contexts(ids, np.cumsum([len(f) for f in found]))
@@ -229,7 +229,7 @@ def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
     to_model = np.array([in_model.get(w, 0) for w, _ in head] + [0], np.int64)
     base_down, rest_down = np.log10(n_all + v_all + 1), np.log10(n_rest + v_rest + 1)
     row, names = TaskContext.get().partitionId() << 40, [x.split()[0] for x in _SCORED.split(", ")]
-    for batch in slices(batches, "text", max_bytes=2 << 20):
+    for batch in slices(batches, "text", max_rows=1024, max_bytes=1 << 20):
         found = [tokens(t) for t in texts(batch)]
         size = np.array([len(f) for f in found])
         ends = np.cumsum(size)
@@ -277,7 +277,11 @@ def scores(docs: DataFrame, held_out_of: int = 7, held_out: int = 2, size: int =
     counts = written(word_counts(training), "counts")
     n_all, v_all = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     model = train(training, counts, n_all, size)
-    ranked = counts.orderBy(F.desc("c"), "word")
+    # only words about as frequent as the last one wanted meet for the ranking, so tasks send few rows
+    least = 0
+    if v_all > head_words:
+        least = counts.agg(F.percentile_approx("c", 1 - head_words / v_all, 100_000)).first()[0] - 1
+    ranked = counts.where(F.col("c") > least).orderBy(F.desc("c"), "word")
     head = [(bytes(r.word), r.c) for r in ranked.limit(head_words).collect()]  # bounded by head_words
     mine = set(model.words)
     inside = [c for w, c in head if w in mine] if len(head) >= len(mine) - 1 else [c for w, c in head]
