@@ -19,7 +19,7 @@ WITH sales AS (SELECT n_name, year(o_orderdate) AS y, sum(l_extendedprice * (1 -
 SELECT n_name, CAST(y AS BIGINT) AS y, round(revenue, 2) AS revenue, CAST(rank() OVER (PARTITION BY y ORDER BY round(revenue, 2) DESC) AS BIGINT) AS rnk FROM sales""")
 
 # scans, filters, expressions
-sql_query("scan_filter_project", "SELECT o_orderkey, round(o_totalprice * 1.1, 2) AS gross FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 1000")
+sql_query("scan_filter_project", "SELECT o_orderkey, o_totalprice * 2 AS twice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 1000")
 sql_query("case_when", "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'big' WHEN o_totalprice > 50000 THEN 'mid' ELSE 'small' END AS size_class, CASE o_orderstatus WHEN 'O' THEN 1 WHEN 'F' THEN 2 ELSE 0 END AS st FROM orders")
 sql_query("between_in_like", "SELECT p_partkey, p_name FROM part WHERE p_size BETWEEN 5 AND 20 AND p_brand IN ('Brand#11', 'Brand#12', 'Brand#13', 'Brand#21', 'Brand#33') AND lower(p_type) LIKE '%e%'")
 sql_query("like_escape", "SELECT p_partkey FROM part WHERE p_brand LIKE 'Brand#1_' ESCAPE '!'")

@@ -43,9 +43,9 @@ def _casts(part):
     return part.select("p_partkey", lenient.to_integer(F.col("p_brand")).alias("a"), lenient.to_integer(F.concat(F.col("p_size").cast("string"), F.lit(" units"))).alias("b"))
 
 
-@query("julianday", "SELECT event_id, round(epoch_us(ts) / 86400e6 + 2440587.5, 6) AS j FROM events", "events")
+@query("julianday", "SELECT event_id, epoch_us(ts) / 86400e6::DOUBLE + 2440587.5::DOUBLE AS j FROM events", "events")
 def _julian(events):
-    return events.select("event_id", F.round(lenient.julianday(F.col("ts")), 6).alias("j"))
+    return events.select("event_id", lenient.julianday(F.col("ts")).alias("j"))
 
 
 @query("date_modifiers", "SELECT o_orderkey, date_trunc('month', o_orderdate) + INTERVAL 1 MONTH - INTERVAL 1 DAY AS last, o_orderdate + INTERVAL 36 HOUR AS later, date_trunc('year', o_orderdate) AS y FROM orders", "orders")
