@@ -97,6 +97,28 @@ def julianday(t: Column) -> Column:
     return F.unix_micros(t.cast("timestamp")) / F.lit(86400e6) + F.lit(2440587.5)
 
 
+def _later(t: Column, months: Column) -> Column:
+    first = F.add_months(F.trunc(t.cast("date"), "month"), months).cast("timestamp")
+    return F.timestamp_micros(F.unix_micros(first) + (F.unix_micros(t) - F.unix_micros(F.date_trunc("month", t))))
+
+
+def timediff(a: Column, b: Column) -> Column:
+    """What to add to b for a: sign, whole years and months, days, and time, as `+0000-00-00 00:00:00.000`."""
+    a, b = a.cast("timestamp"), b.cast("timestamp")
+    forward = a >= b
+    sign = F.when(forward, 1).otherwise(-1)
+    months = sign * (12 * (F.year(a) - F.year(b)) + F.month(a) - F.month(b))
+    past = lambda n: F.when(forward, _later(b, n) > a).otherwise(_later(b, -n) < a)
+    # a month that overflows can end past the next one's start, so two steps back are enough
+    months = F.when(~past(months), months).when(~past(months - 1), months - 1).otherwise(months - 2)
+    rest = sign * (F.unix_micros(a) - F.unix_micros(_later(b, sign * months)))
+    left = F.floor(rest / 1000).cast("bigint")
+    part = lambda size, of: (F.floor(left / size) % of).cast("int")
+    clock = (part(3600000, 24), part(60000, 60), part(1000, 60), (left % 1000).cast("int"))
+    text = F.format_string("%s%04d-%02d-%02d %02d:%02d:%02d.%03d", F.when(forward, "+").otherwise("-"), F.floor(months / 12).cast("int"), (months % 12).cast("int"), F.floor(left / 86400000).cast("int"), *clock)
+    return F.when(a.isNotNull() & b.isNotNull(), text)
+
+
 def modified(t: Column, *modifiers: str) -> Column:
     """A timestamp after modifiers: '+3 days', 'start of month', 'weekday 0', and the like. Months that overflow
     run into the next month."""
@@ -112,8 +134,7 @@ def modified(t: Column, *modifiers: str) -> Column:
             t = F.timestamp_micros(F.unix_micros(t) + F.lit(round(seconds * 1e6)))
         elif w[1].rstrip("s") in ("month", "year"):
             months = int(w[0]) * (12 if w[1].startswith("year") else 1)
-            first = F.add_months(F.trunc(t.cast("date"), "month"), months).cast("timestamp")
-            t = F.timestamp_micros(F.unix_micros(first) + (F.unix_micros(t) - F.unix_micros(F.date_trunc("month", t))))
+            t = _later(t, F.lit(months))
         else:
             raise ValueError(f"unknown modifier {m!r}")
     return t

@@ -49,6 +49,19 @@ def bm25(docs: DataFrame, words: list[str], id_: str = "doc_id", text: str = "te
     return scored.where(hit).select(id_, (-score).alias("score"))
 
 
+def ceiling(docs: DataFrame, words: list[str], text: str = "text", k1: float = 1.2) -> DataFrame:
+    """One row: the greatest score that documents could have for the words; words of no document count 0."""
+    words = list(dict.fromkeys(w.lower() for w in words))
+    has = [F.sum(F.array_contains("_t", w).cast("int")).alias(f"_d{i}") for i, w in enumerate(words)]
+    stats = docs.select(terms(F.col(text)).alias("_t")).agg(F.count(F.lit(1)).alias("_docs"), *has)
+    total = F.lit(0.0)
+    for i in range(len(words)):
+        d = F.col(f"_d{i}")
+        idf = F.log((F.col("_docs") - d + 0.5) / (d + 0.5))
+        total = total + F.when(d > 0, F.greatest(idf, F.lit(1e-6)) * (k1 + 1)).otherwise(F.lit(0.0))
+    return stats.select(total.alias("ceiling"))
+
+
 class Query:
     """OR < AND < NOT < neighbours; "phrases", prefix*, ^first, NEAR(a b, n), parentheses."""
 

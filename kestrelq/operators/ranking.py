@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,38 @@ def nearest(table: DataFrame, query: list[float], k: int = 10, measure: str = "c
     return out.orderBy(F.col("distance").asc() if ascending else F.col("distance").desc(), id_).limit(k)
 
 
+def nearest_each(table: DataFrame, is_query: Column, k: int = 10, id_: str = "vec_id", vector: str = "embedding", block: int = 1024) -> DataFrame:
+    """query_id, id, distance, rank: the k nearest of each query but itself, exactly, by Euclidean distance.
+    Candidates and queries are dealt to blocks; each pair of blocks is a task that keeps k rows a query."""
+    rows = table.where(F.col(vector).isNotNull() & F.col(id_).isNotNull()).select(F.col(id_).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q"))
+    asked = rows.where("q").agg(F.count(F.lit(1))).first()[0]
+    blocks = max(1, -(-asked // block))
+    pieces = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width = F.size("v").alias("width")
+    deal = lambda n, salt: F.pmod(F.xxhash64("i", F.lit(salt)), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    ours = rows.select(deal(pieces, 1).alias("c"), each(blocks).alias("b"), width, "i", "v")
+    theirs = rows.where("q").select(each(pieces).alias("c"), deal(blocks, 2).alias("b"), width, "i", "v")
+
+    def meet(key, found: pa.Table, queries: pa.Table) -> pa.Table:
+        none = ([], [], [])
+        parts = [none]
+        if found.num_rows and queries.num_rows:
+            read = lambda t: np.array(t.column("v").to_pylist(), np.float64)
+            ids, points = found.column("i").to_numpy(), read(found)
+            for own, q in zip(queries.column("i").to_pylist(), read(queries)):
+                d = np.sqrt(((points - q) ** 2).sum(1))
+                near = [j for j in np.lexsort((ids, d))[: k + 1] if ids[j] != own][:k]
+                parts.append(([own] * len(near), ids[near].tolist(), d[near].tolist()))
+        q, i, d = (sum((p[n] for p in parts), []) for n in range(3))
+        return pa.table({"query_id": pa.array(q, pa.int64()), "i": pa.array(i, pa.int64()), "distance": pa.array(d, pa.float64())})
+
+    keys = ("c", "b", "width")
+    met = ours.groupBy(*keys).cogroup(theirs.groupBy(*keys)).applyInArrow(meet, "query_id long, i long, distance double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "i"))
+    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("i").alias(id_), "distance", "rank")
+
+
 def reciprocal_rank(lists: list[DataFrame], id_: str, constant: int = 60) -> DataFrame:
     """lists: (id, position from 1), each bounded. Sum of 1 / (constant + position)."""
     parts = [x.select(id_, (1.0 / (constant + F.col("position"))).alias("s")) for x in lists]
@@ -50,3 +84,52 @@ def capped(ranked: DataFrame, group: str, score: str, id_: str, most: int = 2) -
     """At most `most` rows of each group, best first."""
     w = Window.partitionBy(group).orderBy(F.desc(score), id_)
     return ranked.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
+
+
+def convex(vector_scores: DataFrame, word_scores: DataFrame, id_: str, weight: float = 0.35) -> DataFrame:
+    """Each side divided by its greatest score; a side without the row counts 0."""
+
+    def part(x: DataFrame, name: str) -> DataFrame:
+        top = x.agg(F.max("score").alias("_top"))  # one row
+        return x.join(F.broadcast(top)).select(id_, F.when(F.col("_top") > 0, F.col("score") / F.col("_top")).otherwise(F.lit(0.0)).alias(name))
+
+    both = part(vector_scores, "v").join(part(word_scores, "w"), id_, "full")
+    return both.select(id_, (weight * F.coalesce("v", F.lit(0.0)) + (1 - weight) * F.coalesce("w", F.lit(0.0))).alias("score"))
+
+
+def confidence(cosine: Column, bm25: Column, ceiling: Column, weight: float = 0.35) -> Column:
+    """On an absolute scale: cosine and the share of the greatest possible word score, both held to 0..1.
+    A missing side counts 0, and so do words that no document has."""
+    held = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(x, F.lit(0.0))))
+    return weight * held(cosine) + (1 - weight) * held(F.when(ceiling > 0, bm25 / ceiling))
+
+
+def diversified(candidates: DataFrame, group: str, id_: str, score: str, vector: str, k: int = 10, balance: float = 0.7, most: int = 100) -> DataFrame:
+    """group, id, rank: maximal marginal relevance. The `most` best of a group are cut by score first, then
+    each pick has the greatest balance * score - (1 - balance) * cosine to the nearest picked; ties to
+    the smaller id. Candidates are few for each group, as a search returned them."""
+    w = Window.partitionBy(group).orderBy(F.desc(score), id_)
+    cut = candidates.where(F.col(vector).isNotNull()).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most)
+    rows = cut.select(F.col(group).alias("g"), F.col(id_).cast("long").alias("i"), F.col(score).cast("double").alias("s"), F.col(vector).cast("array<double>").alias("v"))
+
+    def pick(table: pa.Table) -> pa.Table:
+        table = table.sort_by("i")
+        v = np.array(table.column("v").to_pylist(), np.float64)
+        norm = np.sqrt((v * v).sum(1, keepdims=True))
+        v = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+        s = table.column("s").to_numpy()
+        picked: list[int] = []
+        closest, free = np.zeros(len(s)), np.ones(len(s), bool)
+        for _ in range(min(k, len(s))):
+            worth = balance * s - (1 - balance) * closest
+            best = int(np.where(free, worth, -np.inf).argmax())
+            free[best] = False
+            sims = v @ v[best]
+            closest = np.maximum(closest, sims) if picked else sims
+            picked.append(best)
+        out = table.select(["g", "i"]).take(pa.array(picked, pa.int64()))
+        return out.append_column("rank", pa.array(range(1, len(picked) + 1), pa.int32()))
+
+    kind = rows.schema["g"].dataType.simpleString()
+    found = rows.groupBy("g").applyInArrow(pick, f"g {kind}, i long, rank int")
+    return found.select(F.col("g").alias(group), F.col("i").alias(id_), "rank")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import chunking, fulltext, ranking
+from ..operators import chunking, fulltext, ivf, ranking, stemming
 from .registry import query
 
 _TERMS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
@@ -135,3 +135,70 @@ SELECT doc_id, source FROM (SELECT l.doc_id, source, row_number() OVER (PARTITIO
 def _cap(documents, embeddings):
     _, words = _sides(documents, embeddings)
     return ranking.capped(words.join(documents.select("doc_id", "source"), "doc_id"), "source", "score", "doc_id").select("doc_id", "source")
+
+
+@query("hybrid_convex", _SIDES + """,
+a AS (SELECT doc_id, score / max(score) OVER () AS x FROM v),
+b AS (SELECT doc_id, score / max(score) OVER () AS y FROM l)
+SELECT doc_id, round(0.35 * coalesce(x, 0) + 0.65 * coalesce(y, 0), 6) AS score FROM a FULL JOIN b USING (doc_id)""", "documents", "embeddings")
+def _convex(documents, embeddings):
+    return ranking.convex(*_sides(documents, embeddings), "doc_id").withColumn("score", F.round("score", 6))
+
+
+_CEILING = "2.2 * (greatest(ln((docs - d0 + 0.5) / (d0 + 0.5)), 1e-6) + greatest(ln((docs - d1 + 0.5) / (d1 + 0.5)), 1e-6))"
+
+
+@query("hybrid_confidence", _SIDES + f"""
+SELECT doc_id, round(0.35 * greatest(0, least(1, coalesce(v.score, 0))) + 0.65 * greatest(0, least(1, coalesce(l.score / c, 0))), 6) AS confidence
+FROM (v FULL JOIN l USING (doc_id)), (SELECT {_CEILING} AS c FROM s)
+WHERE 0.35 * greatest(0, least(1, coalesce(v.score, 0))) + 0.65 * greatest(0, least(1, coalesce(l.score / c, 0))) >= 0.2""", "documents", "embeddings")
+def _confidence(documents, embeddings):
+    near, words = _sides(documents, embeddings)
+    ceiling = fulltext.ceiling(documents, ["les", "der"])  # one row
+    both = near.withColumnRenamed("score", "v").join(words.withColumnRenamed("score", "w"), "doc_id", "full").join(F.broadcast(ceiling))
+    out = both.select("doc_id", ranking.confidence(F.col("v"), F.col("w"), F.col("ceiling")).alias("confidence"))
+    return out.where(F.col("confidence") >= 0.2).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("fts_trigrams", "SELECT g, count(*) AS n FROM (SELECT substr(n_name, i, 3) AS g FROM nation, generate_series(1, 40) t(i) WHERE i <= length(n_name) - 2) GROUP BY g", "nation")
+def _trigrams(nation):
+    return nation.select(F.explode(fulltext.trigrams(F.col("n_name"))).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("fts_match_join", f"""
+SELECT item_id, doc_id, count(*) AS shared FROM
+  (SELECT DISTINCT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) > 12)) AS term FROM benchmark)
+  JOIN (SELECT DISTINCT doc_id, unnest({_TERMS}) AS term FROM documents) USING (term) GROUP BY item_id, doc_id""", "documents", "benchmark")
+def _match_join(documents, benchmark):
+    asked = benchmark.select("item_id", F.explode(F.array_distinct(fulltext.terms(F.col("text")))).alias("term")).where(F.length("term") > 12)
+    return fulltext.postings(documents).join(asked, "term").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"))
+
+
+@query("fts_porter_vocab", None, "benchmark")
+def _porter(benchmark):
+    return stemming.stem_vocabulary(benchmark, "item_id")
+
+
+@query("fts_snippet", None, "benchmark")
+def _snippet(benchmark):
+    return benchmark.select("item_id", stemming.snippet(F.col("text"), ["the", "was"], size=12).alias("snippet"))
+
+
+@query("vec_ivf_topk", None, "embeddings")
+def _ivf(embeddings):
+    centres = ivf.train(embeddings, 16)
+    return ivf.search(ivf.assigned(embeddings, centres), centres, QUERY_VECTOR, 10, 8)
+
+
+@query("vec_batch_knn", f"""
+SELECT query_id, vec_id FROM (SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), e.vec_id) AS r
+  FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0) WHERE r <= 5""", "embeddings")
+def _batch(embeddings):
+    return ranking.nearest_each(embeddings, F.col("vec_id") % 50 == 0, 5).select("query_id", "vec_id")
+
+
+@query("vec_mmr", None, "embeddings")
+def _mmr(embeddings):
+    near = ranking.nearest(embeddings, QUERY_VECTOR, 50, "cosine").withColumn("score", 1 - F.col("distance"))
+    found = near.join(embeddings, "vec_id").withColumn("g", F.lit(0))
+    return ranking.diversified(found, "g", "vec_id", "score", "embedding").select("vec_id", "rank")
