@@ -1,7 +1,7 @@
-"""Word-level byte-pair encoding through the tokenizers library, with each distinct chunk encoded once.
+"""Word-level byte-pair encoding through the tokenizers library, with each distinct piece encoded once.
 
-The vocabulary's splitter never joins text across white space, so the ids of a text are those of
-its white-space chunks in turn. Chunks repeat; a bounded cache holds their ids. Texts that are not
+The vocabulary's splitter cuts text into words, digits and runs of marks, and the ids of a text are
+those of its pieces in turn. Pieces repeat; a bounded cache holds their ids. Texts that are not
 plain Latin-1, or hold a special token's string or a separator that the two regex dialects treat
 differently, go to the library whole.
 """
@@ -19,7 +19,8 @@ from .common import claim
 _LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _SPACE = "\t\n\x0b\f\r \x85\xa0"
-_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
+# letters first, as the most common; no other kind begins with a letter
+_PIECES = re.compile(rf"[{_LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
 _ODD = re.compile("[\x1c-\x1f]")
 _LONG = 64
 
@@ -55,7 +56,7 @@ class WordEncoder:
             ends[i] = token.endswith("</w>")
         self.ends = ends
         self.cache_entries = cache_entries
-        self.chunks: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.long: list[str] = []
 
     def _plain(self, text: str) -> bool:
@@ -68,36 +69,34 @@ class WordEncoder:
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, chunks: set[str]) -> None:
-        """Adds the ids of chunks to the cache. A piece of a chunk is itself a chunk, so one cache serves both."""
-        known = self.chunks
-        split = {c: _PIECES.findall(c) for c in chunks}
-        missing = [p for p in set(chain.from_iterable(split.values())) if p not in known]
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
+    def _learn(self, pieces: list[str]) -> None:
+        """Adds the ids of pieces to the cache."""
+        known = self.pieces
+        for at in range(0, len(pieces), 4096):
+            part = pieces[at : at + 4096]
             ids = np.asarray(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(part):  # a piece without an end mark: each by itself
                 known.update((p, self._whole(p)) for p in part)
             else:
-                raw, edges = ids.tobytes(), [0, *(cuts * 4).tolist()]
-                known.update((p, raw[edges[i] : edges[i + 1]]) for i, p in enumerate(part))
-        known.update((c, b"".join([known[p] for p in pieces])) for c, pieces in split.items())
-        self.long += [c for c in chain(missing, chunks) if len(c) > _LONG]
+                raw, edges = ids.tobytes(), (cuts * 4).tolist()
+                known.update((p, raw[x:y]) for p, x, y in zip(part, [0, *edges], edges))
+        self.long += [p for p in pieces if len(p) > _LONG]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        split = [t.lower().split() if self._plain(t) else None for t in texts]
-        known = self.chunks
-        missing = {c for c in set(chain.from_iterable(x for x in split if x)) if c not in known}
+        split = [_PIECES.findall(t.lower()) if self._plain(t) else None for t in texts]
+        known = self.pieces
+        pieces = set(chain.from_iterable(x for x in split if x))
+        missing = [p for p in pieces if p not in known]
         if missing:
             if len(known) + len(missing) > self.cache_entries:
-                known = self.chunks = {}
-                missing = set(chain.from_iterable(x for x in split if x))
+                known = self.pieces = {}
+                missing = list(pieces)
             self._learn(missing)
         get = known.__getitem__
         out = [self._whole(t) if x is None else b"".join(map(get, x)) for t, x in zip(texts, split)]
-        for c in self.long:
-            known.pop(c, None)
+        for p in self.long:
+            known.pop(p, None)
         self.long.clear()
         return out
