@@ -27,7 +27,10 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _CONTEXT = re.compile(
-    r"""(?<![A-Za-z0-9])(?:password|passwd|passphrase|passcode|pass|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|authorization|credentials?|bearer|pin)["']?\x20*(?::=|=>|[:=])\x20*(?:"([^"\n]+)"|'([^'\n]+)'|([^\s"'<>,;]+))""",
+    r"""(?:password|passwd|passphrase|passcode|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?"""
+    r"""|(?:(?<![A-Za-z0-9])|(?-i:(?<=[a-z0-9])(?=[A-Z])))(?:pass|pwd|auth|authorization|bearer|pin))["']?\x20*(?::=|=>|[:=])\x20*"""
+    # a scheme word before the value is read past
+    r"""(?:"(?:(?:bearer|basic|digest|token|apikey)\x20+)?([^"\n]+)"|'(?:(?:bearer|basic|digest|token|apikey)\x20+)?([^'\n]+)'|(?:(?:bearer|basic|digest|token|apikey)\x20+)?([^\s"'<>,;]+))""",
     re.I | re.A,
 )
 
@@ -41,7 +44,14 @@ WORDS = (
     "true false placeholder insert here this that the and for you with from have not are all one two three four "
     "five orange banana apple purple yellow green black white silver golden tiger lion eagle falcon phoenix "
     "diamond ginger pepper cookie matrix merlin thunder mustang harley yankees dallas access service account "
-    "config private public change temp temporary company office home house family friend angel nicole jessica"
+    "config private public change temp temporary company office home house family friend angel nicole jessica "
+    "bearer basic digest required optional missing invalid expired unknown disabled enabled encrypted hidden removed "
+    "redacted masked string number integer boolean value field format length reset update updated enter provide please "
+    "contact incorrect wrong correct changed rejected accepted denied granted failed success forgotten protected "
+    "manager policy storage history generator authentication authorization credentials login username undefined empty "
+    "nothing something anything always never should before after again because between during about their there which "
+    "would could other people first second through environment variable settings details support security request "
+    "response header cookies session client device numbers letters characters minimum maximum already shared public"
 ).split()
 #: Rows of a common keyboard, fixed values; walks run along them either way.
 KEYBOARD = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
@@ -157,14 +167,13 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def guess_spans(text: str, cost: GuessCost, least: float) -> list[tuple[int, int, str]]:
-    """Values in credential contexts of at least six characters, of mixed kinds, that cost 10^least guesses."""
+    """Values in credential contexts of at least six characters that cost 10^least guesses."""
     out = []
     if ":" in text or "=" in text:
         for m in _CONTEXT.finditer(text):
             g = m.lastindex
             value = m[g]
-            kinds = sum((any(map(str.isdigit, value)), any(map(str.islower, value)), any(map(str.isupper, value)), not value.isalnum()))
-            if len(value) >= 6 and kinds >= 2 and cost(value) >= least:
+            if len(value) >= 6 and cost(value) >= least:
                 out.append((m.start(g), m.end(g), "guess"))
     return out
 

@@ -93,6 +93,22 @@ def test_guess_spans_and_redaction():
     assert secrets.redact(text, spans) == "my passphrase = '[secret]' token=[secret] done"
 
 
+def test_the_cost_alone_decides_in_credential_contexts():
+    cost = secrets.GuessCost()
+    for text, value in (
+        ("pwd=kqzvxwjpmtrb", "kqzvxwjpmtrb"),
+        ("pin: 839205716648", "839205716648"),
+        ("Authorization: Bearer x8Kq2vz9LmT4 end", "x8Kq2vz9LmT4"),
+        ('"authorization": "Bearer x8Kq2vz9LmT4"', "x8Kq2vz9LmT4"),
+        ("dbPassword=aB!9xkQ2z", "aB!9xkQ2z"),
+        ("userPin=839205716648", "839205716648"),
+    ):
+        assert [text[a:b] for a, b, _ in secrets.guess_spans(text, cost, 8.0)] == [value]
+        assert value not in secrets.redact(text, secrets.find_secrets(text, cost, 8.0))
+    for text in ("pass: monkey", "Authorization: Bearer", "spin=839205716648", "pin: 111111111111", "credentials: required", "auth: disabled"):
+        assert not secrets.guess_spans(text, cost, 8.0)
+
+
 # 2
 
 
