@@ -13,12 +13,17 @@ from pyspark.sql import functions as F
 from . import ranking
 
 
+def sample(table: DataFrame, rows: int, id_: str = "vec_id", vector: str = "embedding") -> np.ndarray:
+    """At most that many vectors, the first by a hash of the id."""
+    found = table.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(F.col(id_)), id_).limit(rows).select(vector).collect()
+    return np.array([r[0] for r in found], np.float64)
+
+
 def train(table: DataFrame, lists: int, per_list: int = 256, rounds: int = 12, id_: str = "vec_id", vector: str = "embedding") -> np.ndarray:
     """Centroids (lists, width). The sample has at most lists * per_list rows, the first by a hash of the id."""
-    rows = table.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(F.col(id_)), id_).limit(lists * per_list).select(vector).collect()
-    if not rows:
+    points = sample(table, lists * per_list, id_, vector)
+    if not len(points):
         raise ValueError("no vectors to learn from")
-    points = np.array([r[0] for r in rows], np.float64)
     centres = points[:: max(1, len(points) // lists)][:lists].copy()
     for _ in range(rounds):
         owner = nearest_list(points, centres)
@@ -31,6 +36,22 @@ def nearest_list(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((centres * centres).sum(1) - 2 * points @ centres.T).argmin(1)
 
 
+def enough_probes(points: np.ndarray, centres: np.ndarray, query: list[float], k: int = 10, recall: float = 0.95, asked: int = 64) -> int:
+    """The fewest lists to probe so that both the query and, on average, `asked` of the points find that share
+    of their k nearest points; all lists, if no fewer do."""
+    owner = nearest_list(points, centres)
+    need = []  # for each query the probe that finds each neighbour, from 1
+    for q in np.vstack([np.array(query, np.float64), points[:asked]]):
+        near = ((points - q) ** 2).sum(1).argsort(kind="stable")[:k]
+        place = ((centres - q) ** 2).sum(1).argsort(kind="stable").argsort()
+        need.append(place[owner[near]] + 1)
+    for probes in range(1, len(centres)):
+        found = [(n <= probes).mean() for n in need]
+        if found[0] >= recall and np.mean(found[1:]) >= recall:
+            return probes
+    return len(centres)
+
+
 def assigned(table: DataFrame, centres: np.ndarray, vector: str = "embedding") -> DataFrame:
     """The table and `list` (null where the vector is null or of another width). One pass, no shuffle."""
     width = centres.shape[1]

@@ -187,7 +187,8 @@ def _snippet(benchmark):
 @query("vec_ivf_topk", None, "embeddings")
 def _ivf(embeddings):
     centres = ivf.train(embeddings, 16)
-    return ivf.search(ivf.assigned(embeddings, centres), centres, QUERY_VECTOR, 10, 8)
+    probes = ivf.enough_probes(ivf.sample(embeddings, 16 * 256), centres, QUERY_VECTOR)
+    return ivf.search(ivf.assigned(embeddings, centres), centres, QUERY_VECTOR, 10, probes)
 
 
 @query("vec_batch_knn", f"""

@@ -147,3 +147,14 @@ def test_readers(spark, tmp_path):
         z.writestr("one.txt", "hello")
     assert [(r.name, bytes(r.data)) for r in readers.zip_entries(spark, str(tmp_path / "z.zip")).collect()] == [("one.txt", b"hello")]
     assert readers.files(spark, str(tmp_path)).count() >= 3
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_registered_index_query_recalls_nine_of_ten(spark, size):
+    from kestrelq.plans import registry, retrieval
+
+    registry.load()
+    table = spark.read.parquet(f"/root/testdata/{size}/embeddings.parquet")
+    want = {r.vec_id for r in ranking.nearest(table, retrieval.QUERY_VECTOR, 10, "l2").collect()}
+    got = {r.vec_id for r in registry.QUERIES["vec_ivf_topk"](spark, f"/root/testdata/{size}").collect()}
+    assert len(want) == 10 and len(want & got) >= 9
