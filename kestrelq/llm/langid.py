@@ -118,23 +118,24 @@ class Model:
 
 
 def sample(docs: DataFrame, per_language: int, max_bytes: int, salt: int = 17, max_languages: int = 1000) -> dict[str, list[bytes]]:
-    """At most per_language texts of each language, of at most max_bytes each, drawn evenly by a hash of
-    the id: what reaches the driver is bounded by max_languages x per_language x max_bytes. The rate for
+    """At most per_language texts of each language, drawn evenly by a hash of the id; of a longer text its
+    first max_bytes, without a last character cut in two. Null and empty texts take no part: what reaches the driver is bounded by max_languages x per_language x max_bytes. The rate for
     each language comes from its count, so about four times as many rows as wanted meet for ranking,
     however many the table has. More than max_languages labels are an error."""
-    counts = docs.where("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).limit(max_languages + 1).collect()
+    docs = docs.where("lang is not null and octet_length(text) > 0")
+    counts = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).limit(max_languages + 1).collect()
     if len(counts) > max_languages:
         raise ValueError("more languages than max_languages")
     if not counts:
         return {}
     rate = F.create_map(*chain.from_iterable((F.lit(r.lang), F.lit(min(1.0, 4.0 * per_language / r._n))) for r in counts))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    picked = docs.where("lang is not null and text is not null").where(F.octet_length("text") <= max_bytes)
-    picked = picked.withColumn("_u", draw).where(F.col("_u") <= F.element_at(rate, F.col("lang"))).select("lang", "text", "_u", "doc_id")
+    piece = F.substring(F.col("text").cast("binary"), 1, max_bytes).alias("text")
+    picked = docs.withColumn("_u", draw).where(F.col("_u") <= F.element_at(rate, F.col("lang"))).select("lang", piece, "_u", "doc_id")
     first = picked.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_u", "doc_id", "text"))).where(F.col("_r") <= per_language)
     out: dict[str, list[bytes]] = {}
     for r in first.select("lang", "text").collect():
-        out.setdefault(r.lang, []).append(r.text.encode())
+        out.setdefault(r.lang, []).append(bytes(r.text).decode(errors="ignore").encode())
     return out
 
 

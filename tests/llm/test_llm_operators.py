@@ -337,6 +337,17 @@ def test_language_id(spark, docs, empty, rows):
     assert kept.columns == docs.columns and kept.where("text is null").count() == 0
 
 
+def test_a_language_of_long_texts_is_learned(spark):
+    long = "été naïve où ça " * 4000
+    rows = [(i, long if i % 100 else "ça va", "fr") for i in range(300)] + [(i, "the cat sat", "en") for i in range(300, 320)] + [(400, "漢" * 20_000, "zh"), (401, None, "fr"), (402, "", "fr")]
+    found = langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 5, 1 << 15)
+    assert {k: len(v) for k, v in found.items()} == {"fr": 5, "en": 5, "zh": 1}
+    assert all(len(t) <= 1 << 15 and long.startswith(t.decode()) for t in found["fr"] if t != "ça va".encode())
+    assert any(len(t) > 30_000 for t in found["fr"]) and found["zh"] == [("漢" * 10922).encode()]
+    only = spark.createDataFrame([(1, long, "fr")], "doc_id long, text string, lang string")
+    assert langid.identified(only, langid.train(only)).count() == 1
+
+
 # 5
 
 
