@@ -3,11 +3,12 @@
 A context of two words predicts a feature vector, the elementwise-weighted sum of its words' vectors;
 a word's score is its product with the word's own vector, plus a bias. Training is noise-contrastive
 estimation over every token of the training documents: each partition trains on its own documents
-from one start, and the weights are averaged by tokens. Scoring normalises: log Z of every context
-of the bounded model vocabulary comes from batched matrix products, so token probabilities sum to 1.
-Words beyond that vocabulary share the probability of <unk> by their add-one counts, which cover the
-whole corpus and meet the documents' words in a shuffle; only the most frequent words' counts, a
-bounded number, are broadcast.
+from one start, and the weights are averaged, a word's by its occurrences. The model's vocabulary is
+every word above a count, so it grows with the corpus. Words are dealt by rank to classes, which have
+vectors of their own: the probability of a token is that of its class among all classes times that of
+the word among its class, both normalised exactly for each token, so token probabilities sum to 1.
+Words below the count share the probability of <unk> by their add-one counts, which cover the
+whole corpus and meet the documents' words in a shuffle.
 
 Tokens: A-Z lower-cased, runs without ASCII white space, then one end, counted as a token.
 """
@@ -62,27 +63,57 @@ def word_counts(docs: DataFrame, flush: int = 300_000) -> DataFrame:
 # the model
 
 
+def class_bounds(k: int, least: int = 32, width: float = 3.0) -> np.ndarray:
+    """Where classes of words by rank begin, and k. Frequent words have small classes: width * sqrt(rank)."""
+    out = [0]
+    while out[-1] < k:
+        out.append(min(k, out[-1] + max(least, int(width * out[-1] ** 0.5))))
+    return np.array(out, np.int64)
+
+
+def _log_share(score: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log softmax of each row at one column; overwrites score."""
+    score -= score.max(1, keepdims=True)
+    own = score[np.arange(len(at)), at].astype(np.float64)
+    return own - np.log(np.exp(score, out=score).sum(1))
+
+
 class Model:
-    """Vocabulary: word 0 is <unk>, word 1 the end, which also stands before a text."""
+    """Vocabulary: word 0 is <unk>, word 1 the end, which also stands before a text; the others by rank."""
 
     def __init__(self, words: list[bytes], share: np.ndarray, dims: int = 16, seed: int = 5):
-        self.words, self.share, self.dims = words, share / share.sum(), dims
+        self.words, self.counts, self.share, self.dims = words, share, share / share.sum(), dims
         rng = np.random.default_rng(seed)
         k = len(words)
+        self.first = class_bounds(k)
+        self.class_of = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+        self.class_share = np.add.reduceat(self.share, self.first[:-1])
         self.weights = {
             "context": (rng.standard_normal((k, dims)) * 0.1).astype(np.float32),
             "target": (rng.standard_normal((k, dims)) * 0.1).astype(np.float32),
-            "mix": np.ones((2, dims), np.float32),
             "bias": np.log(self.share).astype(np.float32),
+            "mix": np.ones((2, dims), np.float32),
+            "class": (rng.standard_normal((len(self.class_share), dims)) * 0.1).astype(np.float32),
+            "class_bias": np.log(self.class_share).astype(np.float32),
         }
-        self.log_z: np.ndarray | None = None
+
+    def rows(self, at: np.ndarray) -> np.ndarray:
+        """What belongs to words: their context and target vectors and bias."""
+        w = self.weights
+        return np.concatenate([w["context"][at], w["target"][at], w["bias"][at, None]], 1)
+
+    def set_rows(self, at: np.ndarray, x: np.ndarray) -> None:
+        w, d = self.weights, self.dims
+        w["context"][at], w["target"][at], w["bias"][at] = x[:, :d], x[:, d : 2 * d], x[:, -1]
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([w.reshape(-1) for w in self.weights.values()])
+        """What all words share."""
+        return np.concatenate([self.weights[k].reshape(-1) for k in ("mix", "class", "class_bias")])
 
     def set_flat(self, x: np.ndarray) -> None:
         at = 0
-        for k, w in self.weights.items():
+        for k in ("mix", "class", "class_bias"):
+            w = self.weights[k]
             self.weights[k] = x[at : at + w.size].reshape(w.shape).astype(np.float32)
             at += w.size
 
@@ -90,58 +121,67 @@ class Model:
         w = self.weights
         return w["context"][c1] * w["mix"][0] + w["context"][c2] * w["mix"][1]
 
-    def normalise(self) -> None:
-        """log Z of all pairs of words, a block of contexts at a time."""
-        k, w = len(self.words), self.weights
-        self.log_z = np.empty((k, k), np.float32)
-        both = w["context"] * w["mix"][1]
-        for a in range(k):
-            score = (w["context"][a] * w["mix"][0] + both) @ w["target"].T + w["bias"]
-            top = score.max(1)
-            self.log_z[a] = np.log(np.exp(score - top[:, None]).sum(1)) + top
-
-    def log_probability(self, c1: np.ndarray, c2: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Natural log; c1 is the nearer word."""
-        w = self.weights
-        score = np.einsum("ij,ij->i", self.predicted(c1, c2), w["target"][word]) + w["bias"][word]
-        return score.astype(np.float64) - self.log_z[c1, c2]
+    def log_probability(self, c1: np.ndarray, c2: np.ndarray, word: np.ndarray, block: int = 4096) -> np.ndarray:
+        """Natural log; c1 is the nearer word. Normalised over all classes and over all words of the class."""
+        w, q, kind = self.weights, self.predicted(c1, c2), self.class_of[word]
+        out = np.empty(len(word))
+        for a in range(0, len(word), block):
+            b = slice(a, a + block)
+            out[b] = _log_share(q[b] @ w["class"].T + w["class_bias"], kind[b])
+        order = np.argsort(kind, kind="stable")
+        ends = np.cumsum(np.bincount(kind, minlength=len(self.class_share)))
+        for k, (lo, hi) in enumerate(zip(self.first[:-1], self.first[1:])):
+            for a in range(ends[k - 1] if k else 0, ends[k], block):
+                at = order[a : min(a + block, ends[k])]
+                out[at] += _log_share(q[at] @ w["target"][lo:hi].T + w["bias"][lo:hi], word[at] - lo)
+        return out
 
 
 class Trainer:
-    """Noise-contrastive estimation with noise shared by a batch, and Adagrad steps."""
+    """Noise-contrastive estimation of words and of classes with noise shared by a batch, and Adagrad steps
+    on the rows that a batch touches."""
 
     def __init__(self, model: Model, noise: int = 32, batch: int = 8192, rate: float = 0.05, seed: int = 9):
         self.m, self.noise, self.batch, self.rate = model, noise, batch, rate
         self.rng = np.random.default_rng(seed)
-        self.log_noise = np.log(noise * model.share).astype(np.float32)
-        self.cumulative = np.cumsum(model.share)
+        self.shares = {"target": model.share, "class": model.class_share}
+        self.log_noise = {k: np.log(noise * s).astype(np.float32) for k, s in self.shares.items()}
+        self.cumulative = {k: np.cumsum(s) for k, s in self.shares.items()}
         self.past = {k: np.full(w.shape, 1e-2, np.float32) for k, w in model.weights.items()}
 
-    def _sum(self, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        k = len(self.m.words)
-        return np.stack([np.bincount(at, rows[:, d], k) for d in range(rows.shape[1])], 1)
+    def _update(self, name: str, at, g: np.ndarray, scale: float) -> None:
+        g = (g * scale).astype(np.float32)
+        past = self.past[name][at] + g * g
+        self.past[name][at] = past
+        self.m.weights[name][at] -= self.rate * g / np.sqrt(past)
+
+    def _sums(self, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The different rows, and the sum for each."""
+        touched, place = np.unique(at, return_inverse=True)
+        return touched, np.stack([np.bincount(place, rows[:, d], len(touched)) for d in range(rows.shape[1])], 1)
+
+    def _contrast(self, name: str, bias: str, q: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list]:
+        """The gradient of q, and the updates to make."""
+        w, n, log_noise, k = self.m.weights, len(at), self.log_noise[name], len(self.shares[name])
+        noise = np.searchsorted(self.cumulative[name], self.rng.random(self.noise)).clip(0, k - 1)
+        true = np.einsum("ij,ij->i", q, w[name][at]) + w[bias][at] - log_noise[at]
+        false = q @ w[name][noise].T + w[bias][noise] - log_noise[noise]
+        up = 1 / (1 + np.exp(-true)) - 1
+        down = 1 / (1 + np.exp(-false))
+        rows = np.concatenate([np.column_stack([up[:, None] * q, up]), np.column_stack([down.T @ q, down.sum(0)])])
+        touched, g = self._sums(np.concatenate([at, noise]), rows)
+        return up[:, None] * w[name][at] + down @ w[name][noise], [(name, touched, g[:, :-1], k / n), (bias, touched, g[:, -1], 1 / n)]
 
     def step(self, c1: np.ndarray, c2: np.ndarray, word: np.ndarray) -> None:
         w, n = self.m.weights, len(word)
-        noise = np.searchsorted(self.cumulative, self.rng.random(self.noise)).clip(0, len(self.m.words) - 1)
         q = self.m.predicted(c1, c2)
-        true = np.einsum("ij,ij->i", q, w["target"][word]) + w["bias"][word] - self.log_noise[word]
-        false = q @ w["target"][noise].T + w["bias"][noise] - self.log_noise[noise]
-        up = 1 / (1 + np.exp(-true)) - 1
-        down = 1 / (1 + np.exp(-false))
-        dq = up[:, None] * w["target"][word] + down @ w["target"][noise]
-        grads = {
-            "target": self._sum(word, up[:, None] * q),
-            "context": self._sum(c1, dq * w["mix"][0]) + self._sum(c2, dq * w["mix"][1]),
-            "mix": np.stack([(dq * w["context"][c1]).sum(0), (dq * w["context"][c2]).sum(0)]),
-            "bias": np.bincount(word, up, len(self.m.words)),
-        }
-        np.add.at(grads["target"], noise, down.T @ q)
-        np.add.at(grads["bias"], noise, down.sum(0))
-        for k, g in grads.items():
-            g = (g / n * len(self.m.words) if k in ("target", "context") else g / n).astype(np.float32)
-            self.past[k] += g * g
-            w[k] -= self.rate * g / np.sqrt(self.past[k])
+        dq, updates = self._contrast("target", "bias", q, word)
+        more, others = self._contrast("class", "class_bias", q, self.m.class_of[word])
+        dq += more
+        touched, g = self._sums(np.concatenate([c1, c2]), np.concatenate([dq * w["mix"][0], dq * w["mix"][1]]))
+        mix = np.stack([(dq * w["context"][c1]).sum(0), (dq * w["context"][c2]).sum(0)])
+        for x in (*updates, *others, ("context", touched, g, len(self.m.words) / n), ("mix", slice(None), mix, 1 / n)):
+            self._update(*x)
 
     def run(self, words: np.ndarray, before: np.ndarray, before2: np.ndarray) -> None:
         for a in range(0, len(words), self.batch):
@@ -166,52 +206,88 @@ def _ids(found: list[list[bytes]], index: dict[bytes, int], other: int) -> np.nd
     return np.fromiter(map(index.get, chain.from_iterable(found), repeat(other)), np.int64, n)
 
 
-def _train(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    m: Model = Model(model.value.words, model.value.share, model.value.dims)
-    m.set_flat(model.value.flat())
+#: Weights of words w with w % blocks == part; part -1: those that all words share.
+_WEIGHTS = "part int, ids binary, n binary, weights binary"
+
+
+def _weights(part: int, ids: np.ndarray, n: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
+    columns = (ids.astype("<i4"), n.astype("<f8"), w.astype("<f4"))
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in columns)], names=["part", "ids", "n", "weights"])
+
+
+def _blocks(words: int) -> int:
+    return -(-words // 512)
+
+
+def _train(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    m = Model(*shared.value)
     part = TaskContext.get().partitionId()
-    trainer, index, n = Trainer(m, seed=part), {w: i for i, w in enumerate(m.words)}, 0
+    trainer, index = Trainer(m, seed=part), {w: i for i, w in enumerate(m.words)}
+    seen = np.zeros(len(m.words), np.int64)
     for batch in slices(batches, "text", max_rows=1024, max_bytes=1 << 20):
         found = [tokens(t) for t in texts(batch)]
         ids = _ids(found, index, 0)
         one, two = contexts(ids, np.cumsum([len(f) for f in found]))
         trainer.run(ids, one, two)
-        n += len(ids)
-    if n:
-        yield _weights(part, n, m.flat())
-
-
-def _weights(part: int, n: float, w: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([float(n)]), pa.array([w.astype("<f4").tobytes()], pa.binary())], names=["part", "n", "weights"])
-
-
-def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, n = None, 0.0
+        seen += np.bincount(ids, minlength=len(seen))
+    if seen.any():
+        blocks = _blocks(len(seen))
+        for k in range(blocks):
+            ids = np.arange(k, len(seen), blocks)
+            ids = ids[seen[ids] > 0]
+            if len(ids):
+                yield _weights(k, ids, seen[ids], m.rows(ids))
+        yield _weights(-1, np.zeros(1), seen.sum(keepdims=True), m.flat())
+
+
+def _average(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    blocks = _blocks(words)
     for batch in batches:
-        for k, raw in zip(batch.column("n").to_pylist(), batch.column("weights").to_pylist()):
-            x = np.frombuffer(raw, "<f4").astype(np.float64) * k
-            total, n = (x if total is None else total + x), n + k
-    if n:
-        yield _weights(0, n, total / n)
-
-
-def train(docs: DataFrame, counts: DataFrame, n_tokens: int, size: int = 768, dims: int = 16) -> Model:
-    """docs: the training documents. Averages meet in two steps, so the driver gets no more than about
-    the square root of the partitions' number of models, each of `size` x 2 x `dims` numbers."""
+        for part, ids, n, w in zip(*(c.to_pylist() for c in batch.columns)):
+            ids, n = np.frombuffer(ids, "<i4"), np.frombuffer(n, "<f8")
+            w = np.frombuffer(w, "<f4").reshape(len(ids), -1)
+            at = ids // blocks
+            if part not in sums:
+                size = -(-words // blocks) if part >= 0 else 1
+                sums[part] = np.zeros((size, w.shape[1])), np.zeros(size)
+            sums[part][0][at] += w * n[:, None]
+            sums[part][1][at] += n
+    for part, (w, n) in sums.items():
+        at = np.flatnonzero(n)
+        yield _weights(part, at * blocks + max(part, 0), n[at], w[at] / n[at, None])
+
+
+def least_count(n_tokens: int) -> int:
+    """How often a word of the model is seen: five times, and more often from 25 million tokens on, as the
+    root of their number, so the vocabulary grows with the corpus but every worker can hold the model."""
+    return max(5, int(n_tokens**0.5 / 1000))
+
+
+def train(docs: DataFrame, counts: DataFrame, n_tokens: int, size: int | None = None, dims: int = 16) -> Model:
+    """docs: the training documents. The vocabulary is all words of least_count, or the size - 2 most frequent.
+    Weights meet by blocks of words; the driver gets one average of each block."""
     spark = docs.sparkSession
-    top = counts.where(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").limit(size - 2).collect()
+    plain = counts.where(F.col("word") != F.lit(END))
+    if size is None:
+        top = plain.where(F.col("c") >= least_count(n_tokens)).toArrow()
+    else:
+        top = plain.orderBy(F.desc("c"), "word").limit(size - 2).toArrow()
+    top = top.sort_by([("c", "descending"), ("word", "ascending")])
+    times = top.column("c").to_numpy()
     ends = n_tokens and counts.where(F.col("word") == F.lit(END)).first().c
-    words = [b"", END, *(bytes(r.word) for r in top)]
-    share = np.array([max(1, n_tokens - ends - sum(r.c for r in top)), max(1, ends), *(r.c for r in top)], np.float64)
+    words = [b"", END, *top.column("word").to_pylist()]
+    share = np.concatenate([[max(1, n_tokens - ends - int(times.sum())), max(1, ends)], times]).astype(np.float64)
     model = Model(words, share, dims)
-    shape = "part int, n double, weights binary"
-    trained = docs.select(F.col("text").cast("string")).mapInArrow(partial(_train, model=spark.sparkContext.broadcast(model)), shape)
-    parts = max(1, round(int(spark.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
-    rows = trained.repartition(parts, "part").mapInArrow(_average, shape).collect()
-    if rows:
-        n = sum(r.n for r in rows)
-        model.set_flat(sum(np.frombuffer(r.weights, "<f4").astype(np.float64) * (r.n / n) for r in sorted(rows, key=lambda r: bytes(r.weights))))
-    model.normalise()
+    shared = spark.sparkContext.broadcast((words, share, dims))
+    trained = docs.select(F.col("text").cast("string")).mapInArrow(partial(_train, shared=shared), _WEIGHTS)
+    for r in trained.repartition("part").mapInArrow(partial(_average, words=len(words)), _WEIGHTS).toLocalIterator():
+        ids = np.frombuffer(r.ids, "<i4")
+        w = np.frombuffer(r.weights, "<f4").reshape(len(ids), -1)
+        if r.part < 0:
+            model.set_flat(w[0])
+        else:
+            model.set_rows(ids, w)
     return model
 
 
@@ -221,12 +297,12 @@ _SCORED = "row long, doc_id long, word binary, n long, n_tokens long, n_known lo
 
 
 def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    model, head, n_all, v_all, n_rest, v_rest = shared.value
+    model, head, count, n_all, v_all, n_rest, v_rest = shared.value
     # frequent words: number, add-one log count, model word
-    index = {w: i for i, (w, _) in enumerate(head)}
-    log_count = np.array([np.log10(c + 1) for _, c in head] + [0.0])
+    index = {w: i for i, w in enumerate(head)}
+    log_count = np.append(np.log10(count + 1), 0.0)
     in_model = {w: i for i, w in enumerate(model.words)}
-    to_model = np.array([in_model.get(w, 0) for w, _ in head] + [0], np.int64)
+    to_model = np.array([in_model.get(w, 0) for w in head] + [0], np.int64)
     base_down, rest_down = np.log10(n_all + v_all + 1), np.log10(n_rest + v_rest + 1)
     row, names = TaskContext.get().partitionId() << 40, [x.split()[0] for x in _SCORED.split(", ")]
     for batch in slices(batches, "text", max_rows=1024, max_bytes=1 << 20):
@@ -266,7 +342,7 @@ def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
         row += n
 
 
-def scores(docs: DataFrame, held_out_of: int = 7, held_out: int = 2, size: int = 768, head_words: int = 100_000) -> DataFrame:
+def scores(docs: DataFrame, held_out_of: int = 7, held_out: int = 2, size: int | None = None, head_words: int = 100_000) -> DataFrame:
     """docs (doc_id, text; null text counts as empty) -> doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score. Training leaves out documents whose crc32(doc_id) modulo held_out_of is held_out.
     Rows stay one for one, also where ids repeat; without training documents every count is 0."""
@@ -277,15 +353,19 @@ def scores(docs: DataFrame, held_out_of: int = 7, held_out: int = 2, size: int =
     counts = written(word_counts(training), "counts")
     n_all, v_all = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     model = train(training, counts, n_all, size)
-    # only words about as frequent as the last one wanted meet for the ranking, so tasks send few rows
-    least = 0
-    if v_all > head_words:
-        least = counts.agg(F.percentile_approx("c", 1 - head_words / v_all, 100_000)).first()[0] - 1
-    ranked = counts.where(F.col("c") > least).orderBy(F.desc("c"), "word")
-    head = [(bytes(r.word), r.c) for r in ranked.limit(head_words).collect()]  # bounded by head_words
-    mine = set(model.words)
-    inside = [c for w, c in head if w in mine] if len(head) >= len(mine) - 1 else [c for w, c in head]
-    shared = spark.sparkContext.broadcast((model, head, n_all, v_all, n_all - sum(inside), v_all - len(inside)))
+    if len(model.words) > head_words:
+        head, count = model.words[1:], model.counts[1:]
+        inside = count
+    else:
+        # only words about as frequent as the last one wanted meet for the ranking, so tasks send few rows
+        least = 0
+        if v_all > head_words:
+            least = counts.agg(F.percentile_approx("c", 1 - head_words / v_all, 100_000)).first()[0] - 1
+        found = counts.where(F.col("c") > least).orderBy(F.desc("c"), "word").limit(head_words).toArrow()  # bounded by head_words
+        head, count = found.column("word").to_pylist(), found.column("c").to_numpy()
+        mine = set(model.words)
+        inside = count[[w in mine for w in head]]
+    shared = spark.sparkContext.broadcast((model, head, count, n_all, v_all, n_all - int(inside.sum()), v_all - len(inside)))
     scored = written(rows.mapInArrow(partial(_score, shared=shared), _SCORED), "scored")
     rare = scored.where("word is not null").select("row", "word", "n").join(counts, "word", "left")
     log_count = F.log10(F.coalesce("c", F.lit(0)) + 1) * F.col("n")

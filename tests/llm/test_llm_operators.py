@@ -514,6 +514,19 @@ def test_probabilities_sum_to_one_and_training_beats_unigrams(spark):
     assert scored[0] > scored[1]
 
 
+def test_the_models_vocabulary_grows_with_the_corpus(spark):
+    sizes = []
+    for part in (0.2, 1.0):
+        table = spark.read.parquet(f"{SMALL}/documents.parquet").where(F.col("doc_id") < part * 200)
+        counts = lm.word_counts(table).cache()
+        model = lm.train(table, counts, counts.agg(F.sum("c")).first()[0])
+        assert {bytes(r.word) for r in counts.where("c >= 5").collect()} | {b"", lm.END} == set(model.words)
+        k = len(model.words)
+        assert abs(np.exp(model.log_probability(np.full(k, 1), np.full(k, k - 1), np.arange(k))).sum() - 1) < 1e-4
+        sizes.append(k)
+    assert 768 < sizes[0] < sizes[1] or sizes[0] < 768 < sizes[1]
+
+
 # 10
 
 
