@@ -174,14 +174,14 @@ def _match_join(documents, benchmark):
     return fulltext.postings(documents).join(asked, "term").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"))
 
 
-@query("fts_porter_vocab", None, "benchmark")
-def _porter(benchmark):
-    return stemming.stem_vocabulary(benchmark, "item_id")
+@query("fts_porter_vocab", None, "documents")
+def _porter(documents):
+    return stemming.stem_vocabulary(documents, "doc_id")
 
 
-@query("fts_snippet", None, "benchmark")
-def _snippet(benchmark):
-    return benchmark.select("item_id", stemming.snippet(F.col("text"), ["the", "was"], size=12).alias("snippet"))
+@query("fts_snippet", None, "documents")
+def _snippet(documents):
+    return documents.select("doc_id", stemming.snippet(F.col("text"), ["the", "was"], size=12).alias("snippet"))
 
 
 @query("vec_ivf_topk", None, "embeddings")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kestrelq.functions import lenient, vectors
-from kestrelq.operators import chunking, fulltext, joins, merge, ranking, recursion
+from kestrelq.operators import chunking, fulltext, joins, merge, ranking, recursion, stemming
 from kestrelq.sources import readers
 from kestrelq.streaming import windows
 
@@ -158,3 +158,15 @@ def test_registered_index_query_recalls_nine_of_ten(spark, size):
     want = {r.vec_id for r in ranking.nearest(table, retrieval.QUERY_VECTOR, 10, "l2").collect()}
     got = {r.vec_id for r in registry.QUERIES["vec_ivf_topk"](spark, f"/root/testdata/{size}").collect()}
     assert len(want) == 10 and len(want & got) >= 9
+
+
+def test_stems_and_snippets_run_over_documents(spark):
+    from kestrelq.plans import registry
+
+    registry.load()
+    small = "/root/testdata/sf0.001"
+    found = registry.QUERIES["fts_snippet"](spark, small)
+    assert {r.doc_id for r in found.collect()} == {r.doc_id for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id").collect()}
+    documents = spark.read.parquet(f"{small}/documents.parquet")
+    want = stemming.stem_vocabulary(documents, "doc_id").collect()
+    assert sorted(map(tuple, registry.QUERIES["fts_porter_vocab"](spark, small).collect())) == sorted(map(tuple, want))
