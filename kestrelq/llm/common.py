@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -47,7 +48,34 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+_PATHS: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes tables that written() made and no plan still reads."""
+    for df in tables:
+        known, path = _PATHS.pop(id(df), (None, ""))
+        if known is not None and known() is df:
+            jvm = df.sparkSession._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(path).getParent()
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def join_hubs(rows: DataFrame, single: DataFrame, key: str, weight: str, total: int, parts: int = 4096) -> DataFrame:
+    """Inner join on key with a written table of one row a key, whose `weight` counts the key's rows among
+    `total` rows. Keys with more than total / parts rows (256 at least) are fewer than `parts`: those are
+    broadcast, so their rows stay where they are; all others are shuffled."""
+    heavy = F.col(weight) > max(256, total // parts)
+    hubs = single.where(heavy)
+    if hubs.isEmpty():
+        return rows.join(single, key)
+    light = rows.join(F.broadcast(hubs.select(key)), key, "left_anti").join(single.where(~heavy), key)
+    return light.unionByName(rows.join(F.broadcast(hubs), key))
 
 
 _HELD: dict[str, Callable[[], None]] = {}

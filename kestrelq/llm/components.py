@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, join_hubs, written
 
 
 def _state(edges: DataFrame) -> tuple[int, int, int]:
@@ -16,8 +16,9 @@ def _state(edges: DataFrame) -> tuple[int, int, int]:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """edges (u, v) of integers -> node, label: the least node that each node reaches. Nodes without an
     edge to another have no row. Alternating large-star and small-star steps; each links nodes to
-    minima that aggregation finds, so a hub's neighbours never meet in one task. Each round is
-    written, which cuts lineage; rounds are logarithmic in practice."""
+    minima that aggregation finds, and a hub's edges meet its minimum by broadcast of the hubs, so
+    they never gather in one task. Each round is written, which cuts lineage, and the tables of the
+    round before are removed; rounds are logarithmic in practice."""
     edges = edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = written(edges, "edges")
     state = _state(edges)
@@ -25,14 +26,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if not state[0]:
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("many")).select("u", F.least("u", "m").alias("m"), "many"), "least")
         # large star: each node's larger neighbours link to its least neighbour
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = join_hubs(both.where("v > u"), least, "u", "many", 2 * state[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = written(large, "large")
         # small star: each node's smaller neighbours, and itself, link to the least of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = written(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
+        low = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("many")), "low")
+        small = join_hubs(large, low, "u", "many", state[0]).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        before, edges = edges, written(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
         now = _state(edges)
+        forget(before, least, large, low)
         if now == state:
             break
         state = now

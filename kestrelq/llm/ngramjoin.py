@@ -1,11 +1,15 @@
 """Similarity join on word n-gram sets: MinHash banding, then exact verification.
 
 Words are the lower-cased text between white space; a document's set holds its runs of five words
-(a shorter document has one run, all its words). Exact copies share a key and count as one text
-from there on. Band and row counts follow from the threshold and the wanted recall. Equal band
-hashes meet in a shuffle; texts linked that way form candidate groups, and every pair of a group is
-verified on its full sets, in blocks of bounded size, so no pair is emitted and no group sits in
-one task. The result has a row for each document: its class and its number of links.
+(a shorter document has one run, all its words). Documents with the same words share a key and count
+as one text from there on. Band and row counts follow from the threshold and the wanted recall.
+Equal band hashes meet in a shuffle. Texts that share a band compare their signatures there, in
+blocks of bounded size, and those whose estimate is within five standard deviations of the threshold
+are candidates, so passages that many documents share don't chain them together. Every pair of a
+candidate group is verified on its full sets, again in blocks of bounded size: no pair is emitted and
+no group sits in one task. A text is shingled once for its signature and once for verification; its
+set is copied once for each block of its own group, which is one but for groups above the block size.
+The result has a row for each document: its class and its number of links.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts, written
+from .common import forget, join_hubs, slices, texts, written
 from .components import components
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -104,7 +108,7 @@ def _lower(batch: pa.RecordBatch) -> list[bytes]:
     return [t.lower().encode() for t in texts(batch)]
 
 
-_SIGNED = "doc_id long, key binary, n int, bands array<long>"
+_SIGNED = "doc_id long, raw long, key binary, n int, bands array<long>, marks binary"
 
 
 def _sign(batches: Iterator[pa.RecordBatch], n: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
@@ -116,17 +120,26 @@ def _sign(batches: Iterator[pa.RecordBatch], n: int, bands: int, rows: int) -> I
         grams = _grams(words, at, n)
         full = [i for i, g in enumerate(grams) if len(g)]
         hashes = np.zeros((bands, len(docs)), np.int64)
+        marks = np.zeros((len(docs), bands * rows), np.uint8)
         if full:
             flat = np.concatenate([grams[i] for i in full])
             starts = np.cumsum([0, *(len(grams[i]) for i in full)])[:-1]
             for band in range(bands):
                 mixed = np.full(len(full), band + 1, np.uint64)
                 for k in range(band * rows, band * rows + rows):
-                    mixed = _mixed(mixed * _PRIME + np.minimum.reduceat(flat * a[k] + b[k], starts))
+                    least = _mixed(np.minimum.reduceat(flat * a[k] + b[k], starts))
+                    marks[full, k] = least.astype(np.uint8)
+                    mixed = _mixed(mixed * _PRIME + least)
                 hashes[band, full] = mixed.view(np.int64)
         keys = [xxhash.xxh3_128_digest(words[x:y].tobytes()) for x, y in zip(at, at[1:])]
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, hashes.size + 1, bands, dtype=np.int32)), pa.array(hashes.T.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array([len(g) for g in grams], pa.int32()), lists], names=["doc_id", "key", "n", "bands"])
+        columns = [batch.column("doc_id"), batch.column("raw"), pa.array(keys, pa.binary()), pa.array([len(g) for g in grams], pa.int32()), lists, pa.array([m.tobytes() for m in marks], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _SIGNED.split(", ")])
+
+
+def least_equal(threshold: float, hashes: int, deviations: float = 5.0) -> int:
+    """How many of their signatures' entries a pair at the threshold shares, but for one pair in millions."""
+    return max(1, math.floor(hashes * threshold - deviations * math.sqrt(hashes * threshold * (1 - threshold))))
 
 
 def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -183,78 +196,167 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
         yield pa.Table.from_batches(held)
 
 
+class _Forest:
+    """Least label of everything joined so far."""
+
+    def __init__(self, labels: list[int]):
+        self.labels, self.above = labels, list(range(len(labels)))
+
+    def root(self, i: int) -> int:
+        while self.above[i] != i:
+            self.above[i] = self.above[self.above[i]]
+            i = self.above[i]
+        return i
+
+    def join(self, i: int, j: int) -> None:
+        x, y = self.root(i), self.root(j)
+        if self.labels[x] > self.labels[y]:
+            x, y = y, x
+        self.above[y] = x
+
+    def label(self, i: int) -> int:
+        return self.labels[self.root(i)]
+
+
+_EDGES = "u long, v long"
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Links between texts of a bucket with at least `least` equal signature entries, as trees."""
+    for group in _groups(batches, ("band", "hash", "left", "right")):
+        node = group.column("node").to_numpy()
+        block = group.column("block").to_numpy()
+        marks = np.frombuffer(b"".join(group.column("marks").to_pylist()), np.uint8).reshape(len(node), -1)
+        forest = _Forest(node.tolist())
+        across = block[0] != block[-1]  # pairs within a block are met on the diagonal
+        first = int(np.searchsorted(block, block[-1])) if across else len(node)
+        for i in range(first):
+            start = first if across else i + 1
+            for j in start + np.flatnonzero((marks[start:] == marks[i]).sum(1) >= least):
+                forest.join(i, int(j))
+        linked = [(n, forest.label(i)) for i, n in enumerate(forest.labels) if forest.label(i) != n]
+        if linked:
+            u, v = zip(*linked)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
+_SETS = "comp long, many int, block int, node long, copies long, grams binary"
+
+
+def _shingle(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text", max_rows=2048, max_bytes=1 << 20):
+        sets = pa.array([g.tobytes() for g in shingles(_lower(batch), n)], pa.binary())
+        names = [x.split()[0] for x in _SETS.split(", ")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-1]), sets], names=names)
+
+
 _VERIFIED = "node long, links long, label long"
 
 
-def _verify(batches: Iterator[pa.RecordBatch], n: int, threshold: float) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     for group in _groups(batches, ("comp", "left", "right")):
-        nodes = group.column("node").to_pylist()
+        nodes = group.column("node").to_numpy()
+        new = np.concatenate([[True], nodes[1:] != nodes[:-1]])  # rows that share id and text are one
+        group = group.filter(pa.array(new))
+        nodes = nodes[new].tolist()
         copies = np.array(group.column("copies").to_pylist(), np.int64)
         block = np.array(group.column("block").to_pylist())
-        sets = shingles([(t or "").lower().encode() for t in group.column("text").to_pylist()], n)
-        linked = similar(sets, threshold)
+        linked = similar([np.frombuffer(g, np.uint64) for g in group.column("grams").to_pylist()], threshold)
         if group.column("left")[0] != group.column("right")[0]:  # pairs within a block are met on the diagonal
             linked &= block[:, None] != block[None, :]
         links = linked @ copies
-        label = list(range(len(nodes)))
-
-        def root(i: int) -> int:
-            while label[i] != i:
-                label[i] = label[label[i]]
-                i = label[i]
-            return i
-
+        forest = _Forest(nodes)
         for i, j in zip(*np.nonzero(np.triu(linked))):
-            x, y = root(i), root(j)
-            if x != y:
-                if nodes[x] > nodes[y]:
-                    x, y = y, x
-                label[y] = x
-        labels = [nodes[root(i)] for i in range(len(nodes))]
+            forest.join(int(i), int(j))
+        labels = [forest.label(i) for i in range(len(nodes))]
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(links, pa.int64()), pa.array(labels, pa.int64())], names=["node", "links", "label"])
 
 
-def similarity_classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9999, block: int = 192) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, class_id, n_links, n_copies; one row for each row of docs.
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows with node and many (blocks of its group) -> a row for each pair of blocks that the node takes part in,
+    together and in order by keys, left and right."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
+    every = every.withColumn("left", F.least("block", "other")).withColumn("right", F.greatest("block", "other")).drop("other", "many")
+    return every.repartition(parts, *keys, "left", "right").sortWithinPartitions(*keys, "left", "right", "block", "node")
+
 
-    class_id: the least id that the document reaches over links (itself, without any); n_links: how
-    many other documents are at least `threshold` similar, exact copies included; n_copies: documents
-    with the same words, itself included. Empty or null texts have no words, so no links. Rows that
-    share an id count as one document in links; a null id takes no part beyond its copies."""
+def _classes(docs: DataFrame, threshold: float, n: int, recall: float, block: int, block_grams: int) -> tuple[DataFrame, DataFrame]:
+    """(signed, known). signed: doc_id, raw (hash of the text as it is), key, n for each row of docs. known: for
+    each key with words its label, class_id, links and copies, and the least (missing, doc_id, raw) of its rows."""
     bands, rows = choose_bands(threshold, recall)
     texts_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts_ = texts_.withColumn("raw", F.xxhash64("text"))
     signed = written(texts_.mapInArrow(partial(_sign, n=n, bands=bands, rows=rows), _SIGNED), "signed")
-    reps = signed.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
-    reps = written(reps, "reps")
-    hashed = reps.where("node is not null").select("node", F.posexplode("bands").alias("band", "hash"))
-    heads = hashed.groupBy("band", "hash").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last").select("band", "hash", "head")
-    met = hashed.join(heads, ["band", "hash"]).select(F.col("node").alias("u"), F.col("head").alias("v"))
-    group = written(components(met), "groups")
-    # candidates with their texts; a group of many texts is dealt to blocks, and pairs of blocks to tasks
-    sizes = group.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    dealt = group.join(sizes, "label").join(reps.select("node", "copies"), "node")
-    many = F.ceil(F.col("size") / block).cast("int")
-    dealt = dealt.select("node", "copies", F.col("label").alias("comp"), many.alias("many"), F.pmod(F.xxhash64("node"), many).cast("int").alias("block"))
-    dealt = dealt.join(texts_.withColumnRenamed("doc_id", "node"), "node")
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
-    dealt = dealt.select("comp", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "node", "copies", "text")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(parts, "comp", "left", "right").sortWithinPartitions("comp", "left", "right", "node")
-    verified = written(dealt.mapInArrow(partial(_verify, n=n, threshold=threshold), _VERIFIED), "verified")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "raw")).alias("first")
+    reps = signed.where("n > 0").groupBy("key").agg(first, F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
+    # written, so a text keeps its number; ids may be missing or shared by several texts
+    reps = written(reps.withColumn("node", F.monotonically_increasing_id()), "reps")
+    hashed = reps.select("node", F.posexplode("bands").alias("band", "hash"))
+    buckets = hashed.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    buckets = written(buckets.select(F.struct("band", "hash").alias("bucket"), "size"), "buckets")
+    met = join_hubs(hashed.select(F.struct("band", "hash").alias("bucket"), "node"), buckets, "bucket", "size", reps.count() * bands)
+    met = met.select("bucket.band", "bucket.hash", "node", F.ceil(F.col("size") / block).cast("int").alias("many"))
+    met = met.withColumn("block", F.pmod(F.xxhash64("node"), F.col("many")).cast("int")).join(reps.select("node", "marks"), "node")
+    edges = _dealt(met, "band", "hash").mapInArrow(partial(_candidates, least=least_equal(threshold, bands * rows)), _EDGES)
+    group = written(components(edges), "groups")
+    forget(buckets)
+    # candidates with their sets; a group of many or long texts is dealt to blocks, and pairs of blocks to tasks
+    group = group.join(reps.select("node", "copies", "n", "first"), "node")
+    sizes = written(group.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.sum(F.col("n").cast("long")).alias("grams")), "sizes")
+    many = F.ceil(F.greatest(F.col("size") / block, F.col("grams") / block_grams)).cast("int")
+    group = join_hubs(group, sizes, "label", "size", reps.count())
+    group = group.select("node", "copies", "first", F.col("label").alias("comp"), many.alias("many"), F.pmod(F.xxhash64("node"), many).cast("int").alias("block"))
+    source = texts_.withColumn("first", F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "raw")).select("first", "text")
+    sets = group.join(source, "first").drop("first").mapInArrow(partial(_shingle, n=n), _SETS)
+    verified = written(_dealt(sets, "comp").mapInArrow(partial(_verify, threshold=threshold), _VERIFIED), "verified")
+    forget(sizes)
     final = components(verified.select(F.col("node").alias("u"), F.col("label").alias("v")))
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
-    known = reps.select("key", "node", "copies").join(links, "node", "left").join(final, "node", "left")
-    known = known.select("key", "copies", F.coalesce("label", "node").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
-    out = signed.select("doc_id", "key", "n").join(known, "key", "left")
-    return out.select(
-        "doc_id",
-        F.when(F.col("n") > 0, F.coalesce("label", "doc_id")).otherwise(F.col("doc_id")).alias("class_id"),
-        F.when(F.col("n") > 0, F.col("links") + F.col("copies") - 1).otherwise(F.lit(0)).cast("long").alias("n_links"),
-        F.when(F.col("n") > 0, F.col("copies")).otherwise(F.lit(1)).cast("long").alias("n_copies"),
-    )
-
-
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents that are the first of their class, all columns as they were."""
-    gone = similarity_classes(docs, **options).where("class_id <> doc_id").select(F.col("doc_id").alias("_kq_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_kq_gone"), "left_anti")
+    known = reps.select("key", "node", "copies", "first").join(links, "node", "left").join(final, "node", "left")
+    known = known.select("key", "copies", "first", F.coalesce("label", "node").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    known = written(known, "known")
+    classes = known.groupBy("label").agg(F.min("first.doc_id").alias("class_id"), F.count(F.lit(1)).alias("size"))
+    known = join_hubs(known, written(classes, "classes"), "label", "size", reps.count())
+    return signed.select("doc_id", "raw", "key", "n"), written(known, "known")
+
+
+def similarity_classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9999, block: int = 192, block_grams: int = 1 << 20) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, class_id, n_links, n_copies; one row for each row of docs.
+
+    class_id: the least id among the documents reached over links (its own, without any; null where none has
+    one); n_links: how many other rows are at least `threshold` similar, exact copies included; n_copies: rows
+    with the same words, itself included. Empty or null texts have no words, so no links. Repeated rows, rows
+    that share an id and rows without one are documents each. Texts may be of any length: a group's sets are
+    dealt to blocks of about `block` texts and `block_grams` n-grams, and one longer text is a block by itself."""
+    signed, known = _classes(docs, threshold, n, recall, block, block_grams)
+    some = signed.where("n > 0")
+    found = join_hubs(some, known, "key", "copies", some.count())
+    none = signed.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+    return found.select("doc_id", "class_id", F.col("links").cast("long").alias("n_links"), F.col("copies").cast("long").alias("n_copies")).unionByName(none)
+
+
+def one_of_each(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9999, block: int = 192, block_grams: int = 1 << 20) -> DataFrame:
+    """One row of each class, all columns as they were: the one of the least id (a missing id comes last), then of
+    the least hash of its text; among rows equal in both any one. Texts without words stay, each row. A row is
+    known by its id and its text, so texts that share an id have fates of their own."""
+    signed, known = _classes(docs, threshold, n, recall, block, block_grams)
+    who = [F.col("doc_id").isNull().alias("missing"), F.coalesce("doc_id", F.lit(0)).alias("id"), "raw"]
+    rows = signed.where("n > 0").groupBy(*who).agg(F.count(F.lit(1)).alias("times"))
+    best = known.groupBy("label").agg(F.min("first").alias("first")).select("first.missing", F.coalesce("first.doc_id", F.lit(0)).alias("id"), "first.raw", F.lit(True).alias("stays"))
+    fate = written(rows.join(best, ["missing", "id", "raw"], "left").where("stays is null or times > 1"), "fate")
+    prefix = "_kq"  # longer than every clashing name
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    keys = [f"{prefix}{i}" for i in range(3)]
+    text, id_ = F.col("text").cast("string"), F.col("doc_id").cast("long")
+    tagged = docs.select("*", id_.isNull().alias(keys[0]), F.coalesce(id_, F.lit(0)).alias(keys[1]), F.xxhash64(text).alias(keys[2]))
+    named = fate.toDF(*keys, f"{prefix}times", f"{prefix}stays")
+    once = tagged.join(named.select(*keys), keys, "left_anti")
+    repeated = named.where(F.col(f"{prefix}stays")).select(*keys)
+    out = once.select(*(F.col(f"`{c}`") for c in docs.columns))
+    if repeated.isEmpty():
+        return out
+    whole = F.first(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias(f"{prefix}row")
+    one = tagged.join(repeated, keys, "left_semi").groupBy(*keys).agg(whole)
+    return out.unionByName(one.select(f"{prefix}row.*"))

@@ -402,8 +402,54 @@ def test_similarity_join_edges(spark, docs, empty, rows):
     assert ngramjoin.similarity_classes(empty).count() == 0
     kept = ngramjoin.one_of_each(docs)
     assert kept.columns == docs.columns
-    ids = {r.doc_id for r in kept.select("doc_id").collect()}
-    assert {0, 1, 2, 4} <= ids and not {5, 7} & ids
+    ids = Counter(r.doc_id for r in kept.select("doc_id").collect())
+    assert {0, 1, 2, 4} <= set(ids) and not {5, 7} & set(ids)
+    assert ids[4] == 1 and ids[None] == 1  # the repeated row once; of the rows without an id only the one without words
+
+
+def test_one_of_each_is_brute_force(spark):
+    """Shared and missing ids, repeated rows, clashing names: of each class one row, and no other text is lost."""
+    rng = random.Random(9)
+    a, b, c = words(rng, 60), words(rng, 60), words(rng, 60)
+    near = a.split()
+    near[3] = "edit"
+    rows = [(1, a), (5, a), (5, b), (7, " ".join(near)), (7, c), (7, c), (1, c.upper()), (None, b), (None, "alone here"), (None, "alone here"), (3, None), (3, None), (4, ""), (None, None)]
+    rows += [(100 + k // 2, words(rng, 30)) for k in range(40)]  # two unrelated texts for each id
+    schema = "doc_id long, text string, _kq_id int, _kq_gone int, _kq0 int, label int, node int, `first` string, missing int"
+    df = spark.createDataFrame([(*r, 1, 2, 3, 4, 5, "f", 6) for r in rows], schema).repartition(4)
+    kept = ngramjoin.one_of_each(df)
+    assert kept.columns == df.columns
+    got = Counter((r.doc_id, (r.text or "").lower()) for r in kept.collect())
+    want = Counter((i, (t or "").lower()) for i, t in rows if not t or i and i >= 100)
+    want.update([(1, a.lower()), (1, c.lower()), (5, b.lower()), (None, "alone here")])
+    assert got == want
+    links = Counter((r.doc_id, r.class_id, r.n_links) for r in ngramjoin.similarity_classes(df).collect())
+    assert links[1, 1, 2] == 2 and links[7, 1, 2] == 3 and links[5, 1, 2] == 1 and links[5, 5, 1] == 1 and links[None, 5, 1] == 1 and links[None, None, 1] == 2
+
+
+def test_shared_passages_do_not_chain_documents(spark):
+    """A passage that makes up a third of each text links none of them, and signatures keep them out of one group."""
+    rng = random.Random(2)
+    passage = words(rng, 40)
+    rows = [(i, f"{words(rng, 30)} {passage} {words(rng, 30)}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.class_id == r.doc_id, r.n_links) for r in ngramjoin.similarity_classes(df).collect()} == {(True, 0)}
+    assert 70 <= ngramjoin.least_equal(0.8, 120) < 80
+
+
+def test_links_at_the_threshold_are_found(spark):
+    """Of pairs just above the similarity of 0.8, every one is found."""
+    rng = random.Random(12)
+    rows, pairs = [], 0
+    for i in range(150):
+        w = [f"w{rng.randint(0, 10**9)}" for _ in range(200)]
+        x = list(w)
+        for at in (30, 70, 110, 150):  # 20 of 196 runs of five differ: 176 / 216
+            x[at] = "edit"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(x))]
+        pairs += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sum(r.n_links for r in ngramjoin.similarity_classes(df).collect()) == 2 * pairs
 
 
 def test_bands_reach_the_recall():
