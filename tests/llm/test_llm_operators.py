@@ -136,14 +136,77 @@ def test_nearest(spark):
 def test_chi_square_and_tree():
     assert abs(annsearch.chi_square_point(0.95, 8) - 15.507) < 1e-3
     pts = np.random.default_rng(0).standard_normal((500, 3))
+    pts[:300, 1] = 4.0  # most are equal along one side
     tree = annsearch.KdTree(pts, 16)
-    q = np.zeros(3)
-    bounds, seen = [], []
-    for d, a, b in tree.leaves(q):
-        bounds.append(d)
-        seen += tree.order[a:b].tolist()
-        assert (((pts[tree.order[a:b]] - q) ** 2).sum(1) >= d - 1e-12).all()
-    assert bounds == sorted(bounds) and sorted(seen) == list(range(500))
+    assert sorted(tree.order.tolist()) == list(range(500)) and np.diff(tree.starts).max() <= 16
+    leaf = tree.leaf_of(pts)
+    low, high = tree.regions()
+    for i, (a, b) in enumerate(zip(tree.starts, tree.starts[1:])):
+        rows = tree.order[a:b]
+        assert (leaf[rows] == i).all() and (pts[rows] >= tree.low[i]).all() and (pts[rows] <= tree.high[i]).all()
+        assert (pts[rows] >= low[i]).all() and (pts[rows] <= high[i]).all()
+    assert np.diff(annsearch.KdTree(np.ones((40, 3)), 4).starts).tolist() == [40]
+
+
+def test_projected_neighbours_come_in_order():
+    v = np.random.default_rng(1).standard_normal((1000, 12))
+    block = annsearch.Block(np.arange(1000), v, 6, leaf=16)
+    q = v[3] + 0.1
+    far = np.concatenate([f for _, f in block.neighbours(q)])
+    assert len(far) == 1000 and (np.diff(far) >= 0).all()
+    assert np.allclose(far, np.sort((((v - q) @ annsearch.axes(12, 6)) ** 2).sum(1)))
+
+
+def recall_and_share(v, n_queries=100, k=10):
+    """At the shipped parameters, in one block."""
+    import inspect
+
+    given = {n: p.default for n, p in inspect.signature(annsearch.nearest).parameters.items()}
+    block = annsearch.Block(np.arange(len(v)), v, given["dims"])
+    stop = annsearch.chi_square_point(given["probability"], given["dims"])
+    hits = 0
+    for q in range(n_queries):
+        d = annsearch.distances(v, v[q])
+        want = sorted((x, i) for i, x in enumerate(d) if i != q)[:k]
+        hits += len({i for _, i in want} & {i for _, i in block.search(v[q], q, k, stop)})
+    return hits / n_queries / k, block.verified / n_queries / len(v)
+
+
+def test_recall_and_share_verified():
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(5)
+    table = pq.read_table("/root/testdata/sf0.1/embeddings.parquet").column("embedding").to_pylist()
+    near_uniform = np.unique(np.array([x for x in table if x and None not in x and any(x)], float), axis=0)
+    centres = rng.standard_normal((100, 64))
+    clustered = centres[rng.integers(0, 100, 8000)] + 0.25 * rng.standard_normal((8000, 64))
+    recall, share = recall_and_share(near_uniform)
+    assert recall >= 0.93 and share < 0.75
+    recall, share = recall_and_share(clustered)
+    assert recall >= 0.95 and share < 0.02
+
+
+def test_the_query_reaches_its_recall_over_many_cells(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((30, 24))
+    v = np.concatenate([centres[rng.integers(0, 30, 1500)] + 0.3 * rng.standard_normal((1500, 24)), rng.standard_normal((500, 24))])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    hits = 0
+    got = defaultdict(set)
+    for r in annsearch.nearest(df, F.col("vec_id") % 20 == 0, block=128, per_task=3).collect():
+        got[r.query_id].add(r.vec_id)
+    for q in range(0, 2000, 20):
+        d = np.sqrt(((v - v[q]) ** 2).sum(1))
+        hits += len(got[q] & {i for _, i in sorted((x, i) for i, x in enumerate(d) if i != q)[:10]})
+    assert hits >= 0.93 * 1000
+
+
+def test_nearest_with_shared_ids_and_repeated_rows(spark):
+    rows = [(1, [0.0, 1.0]), (1, [0.0, 1.0]), (1, [5.0, 5.0]), (2, [0.0, 2.0]), (2, [0.0, 1.5]), (3, [5.0, 6.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in annsearch.nearest(df, F.col("vec_id") == 1).collect())
+    assert [(q, n, v) for q, n, v, _ in got] == [(1, 1, 2), (1, 1, 3), (1, 2, 2), (1, 2, 3)]
+    assert {round(s, 6) for q, n, v, s in got if n == 1} == {0.5, 1.0}
 
 
 # 3, 7, 9: tokenizers
