@@ -55,7 +55,12 @@ WORDS = (
 ).split()
 #: Rows of a common keyboard, fixed values; walks run along them either way.
 KEYBOARD = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
-_DATE = re.compile(r"(?:(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d)")
+#: Dates by the form of their start, with or without one kind of separator, and the guesses for each: 119 years.
+_DATES = (
+    (re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])", re.A), math.log10(119 * 366)),
+    (re.compile(r"(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\1(?:19|20)\d\d", re.A), math.log10(119 * 366)),
+    (re.compile(r"(?:19|20)\d\d", re.A), math.log10(119)),
+)
 
 _STEP = math.log10(2)
 
@@ -65,94 +70,201 @@ def _neighbours(rows: tuple[str, ...]) -> set[str]:
     return pairs | {p[::-1] for p in pairs}
 
 
+class _Runs:
+    """Open starts of one regular run (a repeat or a walk), oldest first. A start's price is what leads to it plus
+    its unit; a segment adds the log of its length in units. An older start that is no dearer than a younger one
+    stays so, as lengths grow alike, so the younger one goes: few starts stay open however long the run is."""
+
+    __slots__ = ("prices", "starts")
+
+    def __init__(self):
+        self.prices: list[float] = []
+        self.starts: list[int] = []
+
+    def clear(self) -> None:
+        if self.starts:
+            self.prices.clear()
+            self.starts.clear()
+
+    def end(self, at: int, unit: int) -> tuple[float, int]:
+        """The cheapest segment that ends here, and its start."""
+        prices, starts = self.prices, self.starts
+        if len(starts) == 1:
+            return prices[0] + math.log10((at - starts[0]) // unit), starts[0]
+        least, kept = math.inf, []
+        for i, start in enumerate(starts):
+            now = prices[i] + math.log10((at - start) // unit)
+            if now < least:
+                least = now
+                kept.append(i)
+        if len(kept) < len(starts):
+            prices[:], starts[:] = [prices[i] for i in kept], [starts[i] for i in kept]
+        return least, starts[-1]
+
+    def open(self, price: float, start: int, at: int, unit: int) -> None:
+        """Adds a start unless an older one is no dearer where its shortest segment ends."""
+        if not self.starts or self.end(at, unit)[0] > price + math.log10((at - start) // unit):
+            self.prices.append(price)
+            self.starts.append(start)
+
+
 class GuessCost:
-    """log10 of the guesses for a value under the cheapest segmentation.
+    """log10 of the guesses for a value under the cheapest segmentation, over all segmentations into:
+
+    a word (three characters or more): its rank; ten times more where digits or signs stand for letters; twice for
+    each capital, up to two. A date: 119 years, times 366 where it has a day. A repeat: a character three times or
+    more, or a unit of 2 to 8 characters twice or more, its guesses times the number. A keyboard walk of three keys
+    or more: its first key, length and direction. Anything else: the alphabet of each character's class. Each
+    segment after the first is twice as much, for not knowing where it starts.
 
-    Costs in log10: a word its rank, plus capitals and letter-like digits; a date about 40,000; a
-    repeat the unit's alphabet times its length; a walk its start, length and direction; brute force
-    the alphabet of each character's class. Each segment after the first adds log10(2) for not
-    knowing where it starts. Runs count up to a bounded length or to their end, so the work is linear
-    in the value.
+    Work and memory are linear in the value. With a limit the scan stops once no segmentation can stay below it.
     """
 
     #: Digits and signs that stand for letters, fixed values.
     LEET = str.maketrans("013457@$!", "oieastasi")
+    UNITS = range(2, 9)
 
     def __init__(self, words: list[str] | tuple[str, ...] = tuple(WORDS), keyboard: tuple[str, ...] = KEYBOARD):
         self.rank = {}
         for i, w in enumerate(words):
-            self.rank.setdefault(w.lower(), i + 2)
+            if len(w) >= 3:
+                self.rank.setdefault(w.lower(), i + 2)
+        by: dict[str, set[int]] = {}
+        for w in self.rank:
+            by.setdefault(w[:3], set()).add(len(w))
+        self.sizes = {k: sorted(v) for k, v in by.items()}  # lengths of words by their first three letters
         self.longest = max(map(len, self.rank), default=0)
         self.near = _neighbours(keyboard)
+        self.parts = {u: [d for d in range(1, u) if u % d == 0] for u in self.UNITS}
 
     @staticmethod
-    def _brute(c: str) -> float:
+    def brute(c: str) -> float:
         if c.isdigit():
             return 1.0
         if c.isascii() and c.isalpha():
             return math.log10(26)
         return math.log10(33) if c.isascii() else 3.0
 
-    def segments(self, value: str) -> tuple[float, list[tuple[int, int, str]]]:
+    def _forward(self, value: str, low: str, plain: str, i: int):
+        """Words and dates that start at i: (end, cost, kind)."""
+        for form, extra in ((low, 0.0), (plain, 1.0)):
+            for n in self.sizes.get(form[i : i + 3], ()):
+                rank = self.rank.get(form[i : i + n])
+                if rank and (not extra or low[i : i + n] not in self.rank):
+                    capitals = sum(c.isupper() for c in value[i : i + n])
+                    yield i + n, math.log10(rank) + extra + min(capitals, 2) * _STEP, "word"
+        if value[i] in "0123":
+            for form, cost in _DATES:
+                if m := form.match(value, i):
+                    yield m.end(), cost, "date"
+
+    def _scan(self, value: str, limit: float, back: list | None) -> float:
         n = len(value)
         low = value.lower() if len(value.lower()) == n else value
         plain = low.translate(self.LEET)
-        ends: dict[int, list[tuple[int, float, str]]] = {}  # by end: start, cost, kind
-        for i in range(n):
-            for j in range(i + 3, min(n, i + self.longest) + 1):
-                for form, extra in ((low, 0.0), (plain, 1.0)):
-                    rank = self.rank.get(form[i:j])
-                    if rank:
-                        capitals = sum(c.isupper() for c in value[i:j])
-                        ends.setdefault(j, []).append((i, math.log10(rank) + extra + min(capitals, 2) * _STEP, "word"))
-                        break
-        for m in _DATE.finditer(value):
-            ends.setdefault(m.end(), []).append((m.start(), math.log10(119 if len(m[0]) == 4 else 119 * 366), "date"))
-        for kind, linked in (("repeat", lambda k: low[k] == low[k - 1]), ("walk", lambda k: low[k - 1 : k + 1] in self.near)):
-            i = 0
-            while i < n:
-                j = i + 1
-                while j < n and linked(j):
-                    j += 1
-                for at in range(i, j - 2):
-                    for k in {j, *range(at + 3, min(j, at + 12))}:
-                        cost = self._brute(value[at]) + math.log10(k - at) + (_STEP if kind == "walk" else 0)
-                        ends.setdefault(k, []).append((at, cost, kind))
-                i = j
-        for unit in range(2, 9):  # repeats of a longer unit: abcabcabc
-            far = 0  # how far the text from i on repeats itself at this distance
-            reach = [0] * (n + 1)
-            for i in range(n - unit - 1, -1, -1):
-                far = far + 1 if low[i] == low[i + unit] else 0
-                reach[i] = far
-            for i in range(n - 2 * unit + 1):
-                whole = reach[i] // unit + 1
-                if whole >= 2:
-                    cost = sum(map(self._brute, low[i : i + unit]))
-                    for k in {whole, *range(2, min(whole, 7))}:
-                        ends.setdefault(i + k * unit, []).append((i, cost + math.log10(k), "repeat"))
-        best = [0.0] + [math.inf] * n  # cheapest split that ends here
-        open_ = [math.inf] * (n + 1)  # the same, within a brute-force stretch
-        back: list = [None] * (n + 1)
-        began = [0] * (n + 1)
+        inf, near, sizes, step, brute, units, parts = math.inf, self.near, self.sizes, _STEP, self.brute, self.UNITS, self.parts
+        price: dict[str, float] = {}
+        cost = [0.0]  # of the last positions, cheapest split that ends there
+        shift = 0  # the position of cost[0]
+        window = max(self.longest, 2 * units[-1], 10)
+        ahead: dict[int, list[tuple[float, int, str]]] = {}  # by end: words and dates
+        same, walk = _Runs(), _Runs()
+        period = {(u, r): _Runs() for u in units for r in range(u)}
+        streak = [0] * (units[-1] + 1)  # characters up to here that equal the one so far before them
+        walked, stretch, stretch_from, deep = 0, inf, 0, 3 * units[-1]
         for j in range(1, n + 1):
-            c = self._brute(value[j - 1])
-            go, new = open_[j - 1] + c, best[j - 1] + (_STEP if j > 1 else 0) + c
-            open_[j], began[j] = (go, began[j - 1]) if go <= new else (new, j - 1)
-            best[j], back[j] = open_[j], (began[j], "brute")
-            for i, cost, kind in ends.get(j, ()):
-                total = best[i] + cost + (_STEP if i else 0)
-                if total < best[j]:
-                    best[j], back[j] = total, (i, kind)
-        out, j = [], n
+            i = j - 1
+            c = value[i]
+            if c in "0123" or low[i : i + 3] in sizes or plain[i : i + 3] in sizes:
+                for end, x, kind in self._forward(value, low, plain, i):
+                    ahead.setdefault(end, []).append((cost[i - shift] + x + (step if i else 0.0), i, kind))
+            b = price.get(c)
+            if b is None:
+                b = price[c] = brute(c)
+            new = cost[i - shift] + (step if i else 0.0) + b
+            stretch += b
+            if new < stretch:
+                stretch, stretch_from = new, i
+            best, start, kind = stretch, stretch_from, "brute"
+            if ahead:
+                for x, at, what in ahead.pop(j, ()):
+                    if x < best:
+                        best, start, kind = x, at, what
+            c = low[i]
+            run = streak[1]
+            streak[1] = run + 1 if i and low[i - 1] == c else 0
+            if streak[1] >= 2:
+                at = j - 3
+                same.open(cost[at - shift] + (step if at else 0.0) + price[value[at]], at, j, 1)
+                x, at = same.end(j, 1)
+                if x < best:
+                    best, start, kind = x, at, "repeat"
+            else:
+                same.clear()
+            walked = walked + 1 if i and low[i - 1 : j] in near else 0
+            if walked >= 2:
+                at = j - 3
+                walk.open(cost[at - shift] + (step if at else 0.0) + price[value[at]] + step, at, j, 1)
+                x, at = walk.end(j, 1)
+                if x < best:
+                    best, start, kind = x, at, "walk"
+            else:
+                walk.clear()
+            # deep in a run of one character every unit is such a run, which is never dearer: counted when it ends
+            if run >= deep and not streak[1]:
+                for u in units:
+                    streak[u] = run + 1 - u
+            for u in units if streak[1] < deep else ():
+                if i < u or low[i - u] != c:
+                    if streak[u] >= u:
+                        for r in range(u):
+                            period[u, r].clear()
+                    streak[u] = 0
+                    continue
+                streak[u] += 1
+                if streak[u] < u:
+                    continue
+                for d in parts[u]:
+                    if streak[d] + d >= streak[u] + u:
+                        break  # a unit that repeats a shorter one is never cheaper
+                else:
+                    d = 0
+                if d:
+                    continue
+                runs, at = period[u, j % u], j - 2 * u
+                runs.open(cost[at - shift] + (step if at else 0.0) + sum(brute(y) for y in low[at : at + u]), at, j, u)
+                x, at = runs.end(j, u)
+                if x < best:
+                    best, start, kind = x, at, "repeat"
+            cost.append(best)
+            if back is not None:
+                back.append((start, kind))
+            if not j % 64:
+                del cost[: len(cost) - window - 1]
+                shift = j + 1 - len(cost)
+                if min(cost) >= limit and stretch >= limit:
+                    # nothing that is still open at this position can end below the limit either
+                    still = [x for x, *_ in (*(e for es in ahead.values() for e in es),)]
+                    still += [r.end(j, u)[0] for (u, k), r in period.items() if r.starts and k == j % u]
+                    still += [p for (u, k), r in period.items() if k != j % u for p in r.prices]
+                    still += [p for r in (same, walk) for p in r.prices]
+                    if not still or min(still) >= limit:
+                        return max(limit, min(best, stretch))
+        return cost[-1] if n else 0.0
+
+    def segments(self, value: str) -> tuple[float, list[tuple[int, int, str]]]:
+        back: list[tuple[int, str]] = [(0, "")]
+        total = self._scan(value, math.inf, back)
+        out, j = [], len(value)
         while j:
             i, kind = back[j]
             out.append((i, j, kind))
             j = i
-        return best[n], out[::-1]
+        return total, out[::-1]
 
-    def __call__(self, value: str) -> float:
-        return self.segments(value)[0]
+    def __call__(self, value: str, limit: float = math.inf) -> float:
+        """The cost, or, once it is known to be the limit or more, a number of at least the limit."""
+        return self._scan(value, limit, None)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -173,7 +285,7 @@ def guess_spans(text: str, cost: GuessCost, least: float) -> list[tuple[int, int
         for m in _CONTEXT.finditer(text):
             g = m.lastindex
             value = m[g]
-            if len(value) >= 6 and cost(value) >= least:
+            if len(value) >= 6 and cost(value, least) >= least:
                 out.append((m.start(g), m.end(g), "guess"))
     return out
 
@@ -223,7 +335,8 @@ def _redact(batches: Iterator[pa.RecordBatch], words: tuple[str, ...], least: fl
 
 
 def scan(docs: DataFrame, words: tuple[str, ...] = tuple(WORDS), least: float = 8.0) -> DataFrame:
-    """doc_id, spans (start, end, kind) of every document; null text counts as empty, rows stay one for one."""
+    """doc_id, spans (start, end, kind) of every document; null text counts as empty, rows stay one for one. Texts and
+    values may be of any length: a value takes time linear in its length, and memory for a few positions."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(partial(_scan, words=tuple(words), least=least), f"doc_id long, spans {_SPANS}")
 

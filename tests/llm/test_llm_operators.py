@@ -1,6 +1,7 @@
 """The operators against brute force, on small fixtures with nulls, empty and long texts, ties and clashing names."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -85,6 +86,69 @@ def test_guess_cost_is_the_least_over_all_splits():
             assert total <= cost(v[:cut]) + cost(v[cut:]) + secrets._STEP + 1e-9
 
 
+def segment_costs(v, words):
+    """Every way to guess v as one segment, from the definition."""
+    low, n = v.lower(), len(v)
+    plain = low.translate(str.maketrans("013457@$!", "oieastasi"))
+    each = lambda t: sum(1.0 if c.isdigit() else math.log10(26) if c.isalpha() else math.log10(33) for c in t)
+    yield each(v)
+    capitals = min(2, sum(c.isupper() for c in v)) * math.log10(2)
+    if n >= 3 and low in words:
+        yield math.log10(words.index(low) + 2) + capitals
+    elif n >= 3 and plain in words:
+        yield math.log10(words.index(plain) + 2) + 1 + capitals
+    if re.fullmatch(r"(19|20)\d\d", v):
+        yield math.log10(119)
+    if re.fullmatch(r"(19|20)\d\d([-/._]?)(0[1-9]|1[0-2])\2(0[1-9]|[12]\d|3[01])|(0[1-9]|[12]\d|3[01])([-/._]?)(0[1-9]|1[0-2])\6(19|20)\d\d", v):
+        yield math.log10(119 * 366)
+    if n >= 3 and len(set(low)) == 1:
+        yield each(v[0]) + math.log10(n)
+    for u in range(2, 9):
+        if n >= 2 * u and n % u == 0 and low == low[:u] * (n // u):
+            yield each(low[:u]) + math.log10(n // u)
+    rows = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
+    if n >= 3 and all(any(low[i : i + 2] in x for r in rows for x in (r, r[::-1])) for i in range(n - 1)):
+        yield each(v[0]) + math.log10(n) + math.log10(2)
+
+
+def test_guess_cost_is_that_of_all_segmentations():
+    words = ("pass", "word", "aaa", "abab", "cat", "the")
+    cost = secrets.GuessCost(words)
+    rng = random.Random(4)
+    alphabets = ("ab", "aab1", "abcd", "catp4", "12", "2019", "qwe", "paswordPA$@", "a-1Z")
+    for k in range(700):
+        v = "".join(rng.choice(alphabets[k % len(alphabets)]) for _ in range(rng.randint(1, 10)))
+        if k % 5 == 0:
+            v = (v[:4] + rng.choice(["2019", "20190517", "1.1.2001", "31-12-1999"]) + v)[:12]
+        if k % 50 == 1:
+            v = v[:3] + "a" * rng.randint(24, 40) + v[:4] * rng.randint(1, 6)
+        least = [0.0] + [math.inf] * len(v)
+        for j in range(1, len(v) + 1):
+            for i in range(j):
+                least[j] = min(least[j], least[i] + (math.log10(2) if i else 0) + min(segment_costs(v[i:j], words)))
+        assert abs(cost(v) - least[-1]) < 1e-9, v
+
+
+def test_long_values_take_linear_time():
+    import time
+    import tracemalloc
+
+    cost = secrets.GuessCost()
+    for v, low in (("a" * 1_000_000, True), ("1" * 90 + "ab" * 9_000, False), ("abcd" * 50_000, False), ("x8Kq2!vz9Lm" * 20_000, False), ("".join(random.Random(1).choices("abcdefghijklmnop0123456789", k=1_000_000)), False)):
+        start = time.process_time()
+        found = cost(v, 8.0)
+        assert (found < 8.0) is low and time.process_time() - start < 8
+    tracemalloc.start()
+    cost("a" * 300_000, 8.0)
+    assert tracemalloc.get_traced_memory()[1] < 20e6
+    tracemalloc.stop()
+    rng = random.Random(3)
+    for _ in range(300):  # the limit never changes a decision
+        v = "".join(rng.choice(["a", "b", "password", "2019", "qwerty", "7", "x", "zz", "e" * 30]) for _ in range(rng.randint(1, 90)))
+        for limit in (4.0, 8.0, 12.0, 30.0):
+            assert (cost(v, limit) >= limit) == (cost(v) >= limit)
+
+
 def test_guess_spans_and_redaction():
     cost = secrets.GuessCost()
     assert secrets.guess_spans("pwd: x8Kq2!vz9Lm", cost, 8.0) and not secrets.guess_spans("pwd: password123", cost, 8.0)
