@@ -71,11 +71,22 @@ def class_bounds(k: int, least: int = 32, width: float = 3.0) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def _log_share(score: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log softmax of each row at one column; overwrites score."""
-    score -= score.max(1, keepdims=True)
-    own = score[np.arange(len(at)), at].astype(np.float64)
-    return own - np.log(np.exp(score, out=score).sum(1))
+def _log_softmax(q: np.ndarray, vectors: np.ndarray, bias: np.ndarray, at: np.ndarray, cells: int = 1 << 17) -> np.ndarray:
+    """Log softmax of each row of q over vectors and bias, at one column; by blocks that stay in the cache."""
+    out = np.empty(len(q))
+    step = max(16, cells // len(bias))
+    down, ones = np.ascontiguousarray(vectors.T), np.ones(len(bias), np.float32)
+    # where no score can leave the range of exponentials, the largest need not be taken off
+    safe = len(q) and np.sqrt(np.einsum("ij,ij->i", q, q).max() * np.einsum("ij,ij->i", vectors, vectors).max()) + np.abs(bias).max() < 60
+    for a in range(0, len(q), step):
+        b = slice(a, a + step)
+        score = q[b] @ down
+        score += bias
+        if not safe:
+            score -= score.max(1, keepdims=True)
+        own = score[np.arange(len(score)), at[b]].astype(np.float64)
+        out[b] = own - np.log(np.exp(score, out=score) @ ones)
+    return out
 
 
 class Model:
@@ -98,17 +109,18 @@ class Model:
         }
 
     def rows(self, at: np.ndarray) -> np.ndarray:
-        """What belongs to words: their context and target vectors and bias."""
+        """What belongs to words: their context and target vectors, and how far their bias went from its start."""
         w = self.weights
-        return np.concatenate([w["context"][at], w["target"][at], w["bias"][at, None]], 1)
+        return np.concatenate([w["context"][at], w["target"][at], (w["bias"][at] - np.log(self.share[at]))[:, None]], 1)
 
     def set_rows(self, at: np.ndarray, x: np.ndarray) -> None:
         w, d = self.weights, self.dims
-        w["context"][at], w["target"][at], w["bias"][at] = x[:, :d], x[:, d : 2 * d], x[:, -1]
+        w["context"][at], w["target"][at], w["bias"][at] = x[:, :d], x[:, d : 2 * d], x[:, -1] + np.log(self.share[at])
 
     def flat(self) -> np.ndarray:
-        """What all words share."""
-        return np.concatenate([self.weights[k].reshape(-1) for k in ("mix", "class", "class_bias")])
+        """What all words share; the classes' biases as those of words."""
+        w = self.weights
+        return np.concatenate([w["mix"].reshape(-1), w["class"].reshape(-1), w["class_bias"] - np.log(self.class_share)])
 
     def set_flat(self, x: np.ndarray) -> None:
         at = 0
@@ -116,24 +128,25 @@ class Model:
             w = self.weights[k]
             self.weights[k] = x[at : at + w.size].reshape(w.shape).astype(np.float32)
             at += w.size
+        self.weights["class_bias"] += np.log(self.class_share).astype(np.float32)
 
     def predicted(self, c1: np.ndarray, c2: np.ndarray) -> np.ndarray:
         w = self.weights
         return w["context"][c1] * w["mix"][0] + w["context"][c2] * w["mix"][1]
 
-    def log_probability(self, c1: np.ndarray, c2: np.ndarray, word: np.ndarray, block: int = 4096) -> np.ndarray:
+    def log_probability(self, c1: np.ndarray, c2: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Natural log; c1 is the nearer word. Normalised over all classes and over all words of the class."""
         w, q, kind = self.weights, self.predicted(c1, c2), self.class_of[word]
-        out = np.empty(len(word))
-        for a in range(0, len(word), block):
-            b = slice(a, a + block)
-            out[b] = _log_share(q[b] @ w["class"].T + w["class_bias"], kind[b])
-        order = np.argsort(kind, kind="stable")
+        order = np.argsort(kind.astype(np.uint16) if len(self.class_share) < 1 << 16 else kind, kind="stable")  # 16 bits sort by radix
+        q, word, kind = q[order], word[order], kind[order]
+        found = _log_softmax(q, w["class"], w["class_bias"], kind)
         ends = np.cumsum(np.bincount(kind, minlength=len(self.class_share)))
         for k, (lo, hi) in enumerate(zip(self.first[:-1], self.first[1:])):
-            for a in range(ends[k - 1] if k else 0, ends[k], block):
-                at = order[a : min(a + block, ends[k])]
-                out[at] += _log_share(q[at] @ w["target"][lo:hi].T + w["bias"][lo:hi], word[at] - lo)
+            b = slice(ends[k - 1] if k else 0, ends[k])
+            if b.start < b.stop:
+                found[b] += _log_softmax(q[b], w["target"][lo:hi], w["bias"][lo:hi], word[b] - lo)
+        out = np.empty(len(word))
+        out[order] = found
         return out
 
 
@@ -157,8 +170,10 @@ class Trainer:
 
     def _sums(self, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The different rows, and the sum for each."""
-        touched, place = np.unique(at, return_inverse=True)
-        return touched, np.stack([np.bincount(place, rows[:, d], len(touched)) for d in range(rows.shape[1])], 1)
+        order = np.argsort(at)
+        at = at[order]
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        return at[first], np.add.reduceat(rows[order], first)
 
     def _contrast(self, name: str, bias: str, q: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list]:
         """The gradient of q, and the updates to make."""
@@ -206,12 +221,12 @@ def _ids(found: list[list[bytes]], index: dict[bytes, int], other: int) -> np.nd
     return np.fromiter(map(index.get, chain.from_iterable(found), repeat(other)), np.int64, n)
 
 
-#: Weights of words w with w % blocks == part; part -1: those that all words share.
+#: Weights of words w with w % blocks == part; part -1: those that all words share. They travel as 16-bit numbers.
 _WEIGHTS = "part int, ids binary, n binary, weights binary"
 
 
 def _weights(part: int, ids: np.ndarray, n: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
-    columns = (ids.astype("<i4"), n.astype("<f8"), w.astype("<f4"))
+    columns = (ids.astype("<i4"), n.astype("<f4"), w.astype("<f2"))
     return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in columns)], names=["part", "ids", "n", "weights"])
 
 
@@ -245,8 +260,8 @@ def _average(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Recor
     blocks = _blocks(words)
     for batch in batches:
         for part, ids, n, w in zip(*(c.to_pylist() for c in batch.columns)):
-            ids, n = np.frombuffer(ids, "<i4"), np.frombuffer(n, "<f8")
-            w = np.frombuffer(w, "<f4").reshape(len(ids), -1)
+            ids, n = np.frombuffer(ids, "<i4"), np.frombuffer(n, "<f4").astype(np.float64)
+            w = np.frombuffer(w, "<f2").astype(np.float64).reshape(len(ids), -1)
             at = ids // blocks
             if part not in sums:
                 size = -(-words // blocks) if part >= 0 else 1
@@ -283,7 +298,7 @@ def train(docs: DataFrame, counts: DataFrame, n_tokens: int, size: int | None =
     trained = docs.select(F.col("text").cast("string")).mapInArrow(partial(_train, shared=shared), _WEIGHTS)
     for r in trained.repartition("part").mapInArrow(partial(_average, words=len(words)), _WEIGHTS).toLocalIterator():
         ids = np.frombuffer(r.ids, "<i4")
-        w = np.frombuffer(r.weights, "<f4").reshape(len(ids), -1)
+        w = np.frombuffer(r.weights, "<f2").reshape(len(ids), -1)
         if r.part < 0:
             model.set_flat(w[0])
         else:
