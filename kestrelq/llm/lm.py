@@ -10,7 +10,9 @@ the word among its class, both normalised exactly for each token, so token proba
 Words below the count share the probability of <unk> by their add-one counts, which cover the
 whole corpus and meet the documents' words in a shuffle.
 
-Tokens: A-Z lower-cased, runs without ASCII white space, then one end, counted as a token.
+Tokens: A-Z lower-cased, runs without ASCII white space, then one end, counted as a token. Words are
+counted as they are; those of the model, and the frequent ones, are found by a 64-bit hash. Texts may be of
+any length: a batch holds at least one whole text, and its memory is a fixed multiple of its words.
 """
 
 from __future__ import annotations
@@ -18,7 +20,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_bucket, slices, texts, written
+from .ngramjoin import word_hashes, word_spans
 
 END = b"\n"  # no word holds white space
 
@@ -166,36 +168,54 @@ class Trainer:
         g = (g * scale).astype(np.float32)
         past = self.past[name][at] + g * g
         self.past[name][at] = past
-        self.m.weights[name][at] -= self.rate * g / np.sqrt(past)
-
-    def _sums(self, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The different rows, and the sum for each."""
-        order = np.argsort(at)
-        at = at[order]
-        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        return at[first], np.add.reduceat(rows[order], first)
+        np.sqrt(past, out=past)
+        g *= self.rate
+        g /= past
+        self.m.weights[name][at] -= g
 
     def _contrast(self, name: str, bias: str, q: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list]:
-        """The gradient of q, and the updates to make."""
+        """The gradient of q, and the updates to make. at ascends."""
         w, n, log_noise, k = self.m.weights, len(at), self.log_noise[name], len(self.shares[name])
         noise = np.searchsorted(self.cumulative[name], self.rng.random(self.noise)).clip(0, k - 1)
-        true = np.einsum("ij,ij->i", q, w[name][at]) + w[bias][at] - log_noise[at]
-        false = q @ w[name][noise].T + w[bias][noise] - log_noise[noise]
-        up = 1 / (1 + np.exp(-true)) - 1
-        down = 1 / (1 + np.exp(-false))
-        rows = np.concatenate([np.column_stack([up[:, None] * q, up]), np.column_stack([down.T @ q, down.sum(0)])])
-        touched, g = self._sums(np.concatenate([at, noise]), rows)
-        return up[:, None] * w[name][at] + down @ w[name][noise], [(name, touched, g[:, :-1], k / n), (bias, touched, g[:, -1], 1 / n)]
+        own, other = w[name][at], w[name][noise]
+        up = 1 / (1 + np.exp(log_noise[at] - w[bias][at] - np.einsum("ij,ij->i", q, own))) - 1
+        down = q @ other.T
+        down += w[bias][noise] - log_noise[noise]
+        np.exp(np.negative(down, out=down), out=down)
+        down += 1
+        np.reciprocal(down, out=down)
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        touched, g, g_bias = at[first], np.add.reduceat(up[:, None] * q, first), np.add.reduceat(up, first)
+        # noise joins the words of the batch
+        drawn, place = np.unique(noise, return_inverse=True)
+        mine = (place == np.arange(len(drawn))[:, None]).astype(np.float32)
+        g_drawn, g_drawn_bias = mine @ (down.T @ q), mine @ down.sum(0)
+        where = np.searchsorted(touched, drawn)
+        met = touched[np.minimum(where, len(touched) - 1)] == drawn
+        g[where[met]] += g_drawn[met]
+        g_bias[where[met]] += g_drawn_bias[met]
+        touched = np.concatenate([touched, drawn[~met]])
+        g, g_bias = np.concatenate([g, g_drawn[~met]]), np.concatenate([g_bias, g_drawn_bias[~met]])
+        own *= up[:, None]
+        own += down @ other
+        return own, [(name, touched, g, k / n), (bias, touched, g_bias, 1 / n)]
 
     def step(self, c1: np.ndarray, c2: np.ndarray, word: np.ndarray) -> None:
+        order = np.argsort(word)  # classes ascend with their words
+        c1, c2, word = c1[order], c2[order], word[order]
         w, n = self.m.weights, len(word)
-        q = self.m.predicted(c1, c2)
+        one, two = w["context"][c1], w["context"][c2]
+        q = one * w["mix"][0] + two * w["mix"][1]
         dq, updates = self._contrast("target", "bias", q, word)
         more, others = self._contrast("class", "class_bias", q, self.m.class_of[word])
         dq += more
-        touched, g = self._sums(np.concatenate([c1, c2]), np.concatenate([dq * w["mix"][0], dq * w["mix"][1]]))
-        mix = np.stack([(dq * w["context"][c1]).sum(0), (dq * w["context"][c2]).sum(0)])
-        for x in (*updates, *others, ("context", touched, g, len(self.m.words) / n), ("mix", slice(None), mix, 1 / n)):
+        mix = np.stack([np.einsum("ij,ij->j", dq, one), np.einsum("ij,ij->j", dq, two)])
+        at = np.concatenate([c1, c2])
+        order = np.argsort(at)
+        at = at[order]
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        g = np.add.reduceat(np.concatenate([dq * w["mix"][0], dq * w["mix"][1]])[order], first)
+        for x in (*updates, *others, ("context", at[first], g, len(self.m.words) / n), ("mix", slice(None), mix, 1 / n)):
             self._update(*x)
 
     def run(self, words: np.ndarray, before: np.ndarray, before2: np.ndarray) -> None:
@@ -216,9 +236,41 @@ def contexts(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return one, two
 
 
-def _ids(found: list[list[bytes]], index: dict[bytes, int], other: int) -> np.ndarray:
-    n = sum(map(len, found))
-    return np.fromiter(map(index.get, chain.from_iterable(found), repeat(other)), np.int64, n)
+class Index:
+    """Numbers of words by their 64-bit hashes: sorted, and entered by their upper bits."""
+
+    def __init__(self, words: list[bytes]):
+        self.size = len(words)
+        hashes, _ = word_hashes([b" ".join(words)])  # no word holds white space
+        order = np.argsort(hashes)
+        self.keys = np.append(hashes[order], np.uint64((1 << 64) - 1))
+        self.number = np.append(order, self.size)
+        self.shift = np.uint64(63 - max(1, self.size).bit_length())
+        slots = np.arange(1 << (64 - int(self.shift)), dtype=np.uint64) << self.shift
+        self.start = np.searchsorted(self.keys, slots).astype(np.int32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers; those of unknown words are the size."""
+        at = self.start[hashes >> self.shift]
+        key = self.keys[at]
+        on = np.flatnonzero(key < hashes)
+        while len(on):
+            at[on] += 1
+            key[on] = self.keys[at[on]]
+            on = on[key[on] < hashes[on]]
+        return np.where(key == hashes, self.number[at], self.size)
+
+
+def _placed(found: np.ndarray, at: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all tokens from those of the words, an end after each text; and where texts end."""
+    size = np.diff(at)
+    out = np.full(len(found) + len(size), end, np.int64)
+    out[np.arange(len(found)) + np.repeat(np.arange(len(size)), size)] = found
+    return out, np.cumsum(size + 1)
+
+
+def _lower(batch: pa.RecordBatch) -> list[bytes]:
+    return [t.encode().lower() for t in texts(batch)]
 
 
 #: Weights of words w with w % blocks == part; part -1: those that all words share. They travel as 16-bit numbers.
@@ -237,12 +289,13 @@ def _blocks(words: int) -> int:
 def _train(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     m = Model(*shared.value)
     part = TaskContext.get().partitionId()
-    trainer, index = Trainer(m, seed=part), {w: i for i, w in enumerate(m.words)}
+    trainer, index = Trainer(m, seed=part), Index(m.words[2:])
     seen = np.zeros(len(m.words), np.int64)
     for batch in slices(batches, "text", max_rows=1024, max_bytes=1 << 20):
-        found = [tokens(t) for t in texts(batch)]
-        ids = _ids(found, index, 0)
-        one, two = contexts(ids, np.cumsum([len(f) for f in found]))
+        *_, hashes, at = word_spans(_lower(batch))
+        found = index.find(hashes)
+        ids, ends = _placed(np.where(found < index.size, found + 2, 0), at, 1)
+        one, two = contexts(ids, ends)
         trainer.run(ids, one, two)
         seen += np.bincount(ids, minlength=len(seen))
     if seen.any():
@@ -308,24 +361,28 @@ def train(docs: DataFrame, counts: DataFrame, n_tokens: int, size: int | None =
 
 # scores
 
-_SCORED = "row long, doc_id long, word binary, n long, n_tokens long, n_known long, base double, score double"
+_SCORED = "row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,n:long>>"
 
 
 def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     model, head, count, n_all, v_all, n_rest, v_rest = shared.value
-    # frequent words: number, add-one log count, model word
-    index = {w: i for i, w in enumerate(head)}
-    log_count = np.append(np.log10(count + 1), 0.0)
+    # frequent words: number, add-one log count, model word; the last two numbers: the end, and all others
+    words_ = [w for w in head if w != END]
+    kept = np.array([w != END for w in head], bool)
+    index = Index(words_)
+    end_count = count[~kept]
+    log_count = np.concatenate([np.log10(count[kept] + 1), [0.0], np.log10(end_count + 1) if len(end_count) else [0.0]])
+    known = np.append(np.ones(len(words_), np.int64), [0, len(end_count)])
     in_model = {w: i for i, w in enumerate(model.words)}
-    to_model = np.array([in_model.get(w, 0) for w in head] + [0], np.int64)
+    to_model = np.array([in_model.get(w, 0) for w in words_] + [0, 1], np.int64)
+    other, end = len(words_), len(words_) + 1
     base_down, rest_down = np.log10(n_all + v_all + 1), np.log10(n_rest + v_rest + 1)
     row, names = TaskContext.get().partitionId() << 40, [x.split()[0] for x in _SCORED.split(", ")]
     for batch in slices(batches, "text", max_rows=1024, max_bytes=1 << 20):
-        found = [tokens(t) for t in texts(batch)]
-        size = np.array([len(f) for f in found])
-        ends = np.cumsum(size)
-        starts = ends - size
-        ids = _ids(found, index, len(head))
+        joined, first, after, hashes, at = word_spans(_lower(batch))
+        found = index.find(hashes)
+        ids, ends = _placed(found, at, end)
+        starts = np.concatenate([[0], ends[:-1]])
         words = to_model[ids]
         one, two = contexts(words, ends)
         logp = model.log_probability(one, two, words) / np.log(10)
@@ -333,27 +390,17 @@ def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
         outside = words == 0
         score = np.add.reduceat(logp + np.where(outside, counted - rest_down, 0.0), starts)
         base = np.add.reduceat(counted - base_down, starts)
-        known = np.add.reduceat((ids < len(head)).astype(np.int64), starts)
-        keys, n = batch.column("doc_id").to_pylist(), len(found)
-        flat = list(chain.from_iterable(found))
-        rare = np.flatnonzero(ids == len(head))
-        owner = np.searchsorted(ends, rare, "right")
-        many = Counter(zip(owner.tolist(), map(flat.__getitem__, rare.tolist())))
-        whose, what, times = zip(*((i, w, k) for (i, w), k in many.items())) if many else ((), (), ())
-        none, zero = [None] * n, [0] * len(whose)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([*(row + i for i in range(n)), *(row + i for i in whose)], pa.int64()),
-                pa.array([*keys, *(None for _ in whose)], pa.int64()),
-                pa.array([*none, *what], pa.binary()),
-                pa.array([*([0] * n), *times], pa.int64()),
-                pa.array([*size.tolist(), *zero], pa.int64()),
-                pa.array([*known.tolist(), *zero], pa.int64()),
-                pa.array([*base.tolist(), *zero], pa.float64()),
-                pa.array([*score.tolist(), *zero], pa.float64()),
-            ],
-            names=names,
-        )
+        n = batch.num_rows
+        rare = np.flatnonzero(found == other)
+        many = Counter(zip((np.searchsorted(at, rare, "right") - 1).tolist(), (joined[a:b] for a, b in zip(first[rare].tolist(), after[rare].tolist()))))
+        if end_count.size == 0:  # no training document
+            many.update({(i, END): 1 for i in range(n)})
+        some = sorted(many)
+        whose = np.fromiter((i for i, _ in some), np.int64, len(some))
+        lists = pa.array(np.searchsorted(whose, np.arange(n + 1)), pa.int32())
+        pairs = pa.StructArray.from_arrays([pa.array([w for _, w in some], pa.binary()), pa.array([many[x] for x in some], pa.int64())], names=["word", "n"])
+        columns = [pa.array(np.arange(row, row + n)), batch.column("doc_id"), pa.array(ends - starts), pa.array(np.add.reduceat(known[ids], starts)), pa.array(base), pa.array(score)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(lists, pairs)], names=names)
         row += n
 
 
@@ -382,10 +429,10 @@ def scores(docs: DataFrame, held_out_of: int = 7, held_out: int = 2, size: int |
         inside = count[[w in mine for w in head]]
     shared = spark.sparkContext.broadcast((model, head, count, n_all, v_all, n_all - int(inside.sum()), v_all - len(inside)))
     scored = written(rows.mapInArrow(partial(_score, shared=shared), _SCORED), "scored")
-    rare = scored.where("word is not null").select("row", "word", "n").join(counts, "word", "left")
+    rare = scored.select("row", F.explode("rare").alias("w")).select("row", "w.word", "w.n").join(counts, "word", "left")
     log_count = F.log10(F.coalesce("c", F.lit(0)) + 1) * F.col("n")
     rare = rare.groupBy("row").agg(F.sum(log_count).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"))
-    return scored.where("word is null").join(rare, "row", "left").select(
+    return scored.drop("rare").join(rare, "row", "left").select(
         "doc_id",
         out.alias("held_out"),
         "n_tokens",

@@ -63,9 +63,11 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
-def word_hashes(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words, and each document's first word (one more entry than documents)."""
-    data = np.frombuffer(b" ".join(docs) + b" ", np.uint8)
+def word_spans(docs: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The documents joined, where each word begins and ends there, 64-bit hashes of all words, and each
+    document's first word (one more entry than documents)."""
+    joined = b" ".join(docs) + b" "
+    data = np.frombuffer(joined, np.uint8)
     blank = _BLANK[data]
     first = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
     after = np.flatnonzero(blank & ~np.concatenate([[True], blank[:-1]]))
@@ -74,7 +76,11 @@ def word_hashes(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
     words = _mixed((total[after] - total[first]) * down[first])
     edges = np.cumsum([0, *(len(d) + 1 for d in docs)])
-    return words, np.searchsorted(first, edges)
+    return joined, first, after, words, np.searchsorted(first, edges)
+
+
+def word_hashes(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return word_spans(docs)[3:]
 
 
 def shingles(docs: list[bytes], n: int = 5) -> list[np.ndarray]:
