@@ -102,11 +102,11 @@ class Model:
         self.class_of = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
         self.class_share = np.add.reduceat(self.share, self.first[:-1])
         self.weights = {
-            "context": (rng.standard_normal((k, dims)) * 0.1).astype(np.float32),
-            "target": (rng.standard_normal((k, dims)) * 0.1).astype(np.float32),
+            "context": rng.standard_normal((k, dims), np.float32) * np.float32(0.1),
+            "target": rng.standard_normal((k, dims), np.float32) * np.float32(0.1),
             "bias": np.log(self.share).astype(np.float32),
             "mix": np.ones((2, dims), np.float32),
-            "class": (rng.standard_normal((len(self.class_share), dims)) * 0.1).astype(np.float32),
+            "class": rng.standard_normal((len(self.class_share), dims), np.float32) * np.float32(0.1),
             "class_bias": np.log(self.class_share).astype(np.float32),
         }
 
@@ -134,13 +134,17 @@ class Model:
 
     def predicted(self, c1: np.ndarray, c2: np.ndarray) -> np.ndarray:
         w = self.weights
-        return w["context"][c1] * w["mix"][0] + w["context"][c2] * w["mix"][1]
+        out, two = w["context"][c1], w["context"][c2]
+        out *= w["mix"][0]
+        two *= w["mix"][1]
+        out += two
+        return out
 
     def log_probability(self, c1: np.ndarray, c2: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Natural log; c1 is the nearer word. Normalised over all classes and over all words of the class."""
-        w, q, kind = self.weights, self.predicted(c1, c2), self.class_of[word]
+        w, kind = self.weights, self.class_of[word]
         order = np.argsort(kind.astype(np.uint16) if len(self.class_share) < 1 << 16 else kind, kind="stable")  # 16 bits sort by radix
-        q, word, kind = q[order], word[order], kind[order]
+        q, word, kind = self.predicted(c1[order], c2[order]), word[order], kind[order]
         found = _log_softmax(q, w["class"], w["class_bias"], kind)
         ends = np.cumsum(np.bincount(kind, minlength=len(self.class_share)))
         for k, (lo, hi) in enumerate(zip(self.first[:-1], self.first[1:])):
@@ -365,17 +369,12 @@ _SCORED = "row long, doc_id long, n_tokens long, n_known long, base double, scor
 
 
 def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    model, head, count, n_all, v_all, n_rest, v_rest = shared.value
-    # frequent words: number, add-one log count, model word; the last two numbers: the end, and all others
-    words_ = [w for w in head if w != END]
-    kept = np.array([w != END for w in head], bool)
-    index = Index(words_)
-    end_count = count[~kept]
-    log_count = np.concatenate([np.log10(count[kept] + 1), [0.0], np.log10(end_count + 1) if len(end_count) else [0.0]])
-    known = np.append(np.ones(len(words_), np.int64), [0, len(end_count)])
-    in_model = {w: i for i, w in enumerate(model.words)}
-    to_model = np.array([in_model.get(w, 0) for w in words_] + [0, 1], np.int64)
-    other, end = len(words_), len(words_) + 1
+    model, head, count, end_count, to_model, n_all, v_all, n_rest, v_rest = shared.value
+    # frequent words: number, add-one log count, model word; the last two numbers: all others, and the end
+    index = Index(head)
+    log_count = np.append(np.log10(count + 1), [0.0, np.log10(end_count + 1)])
+    known = np.append(np.ones(len(head), np.int64), [0, int(end_count > 0)])
+    other, end = len(head), len(head) + 1
     base_down, rest_down = np.log10(n_all + v_all + 1), np.log10(n_rest + v_rest + 1)
     row, names = TaskContext.get().partitionId() << 40, [x.split()[0] for x in _SCORED.split(", ")]
     for batch in slices(batches, "text", max_rows=1024, max_bytes=1 << 20):
@@ -393,8 +392,6 @@ def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
         n = batch.num_rows
         rare = np.flatnonzero(found == other)
         many = Counter(zip((np.searchsorted(at, rare, "right") - 1).tolist(), (joined[a:b] for a, b in zip(first[rare].tolist(), after[rare].tolist()))))
-        if end_count.size == 0:  # no training document
-            many.update({(i, END): 1 for i in range(n)})
         some = sorted(many)
         whose = np.fromiter((i for i, _ in some), np.int64, len(some))
         lists = pa.array(np.searchsorted(whose, np.arange(n + 1)), pa.int32())
@@ -414,30 +411,37 @@ def scores(docs: DataFrame, held_out_of: int = 7, held_out: int = 2, size: int |
     training = rows.where(~out)
     counts = written(word_counts(training), "counts")
     n_all, v_all = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    n_ends = (counts.where(F.col("word") == F.lit(END)).first() or (END, 0))[1]
     model = train(training, counts, n_all, size)
     if len(model.words) > head_words:
-        head, count = model.words[1:], model.counts[1:]
-        inside = count
+        head, count, inside = model.words[2:], model.counts[2:], model.counts[1:]
+        to_model = np.arange(2, len(model.words))
     else:
         # only words about as frequent as the last one wanted meet for the ranking, so tasks send few rows
         least = 0
         if v_all > head_words:
             least = counts.agg(F.percentile_approx("c", 1 - head_words / v_all, 100_000)).first()[0] - 1
-        found = counts.where(F.col("c") > least).orderBy(F.desc("c"), "word").limit(head_words).toArrow()  # bounded by head_words
+        plain = counts.where(F.col("word") != F.lit(END))
+        found = plain.where(F.col("c") > least).orderBy(F.desc("c"), "word").limit(head_words).toArrow()  # bounded by head_words
         head, count = found.column("word").to_pylist(), found.column("c").to_numpy()
-        mine = set(model.words)
-        inside = count[[w in mine for w in head]]
-    shared = spark.sparkContext.broadcast((model, head, count, n_all, v_all, n_all - int(inside.sum()), v_all - len(inside)))
+        mine = {w: i for i, w in enumerate(model.words)}
+        to_model = np.array([mine.get(w, 0) for w in head], np.int64)
+        inside = np.append(count[to_model > 0], n_ends) if n_ends else count[to_model > 0]
+    model.words = []  # from here on words are known by number
+    shared = spark.sparkContext.broadcast((model, head, count, n_ends, np.append(to_model, [0, 1]), n_all, v_all, n_all - int(inside.sum()), v_all - len(inside)))
     scored = written(rows.mapInArrow(partial(_score, shared=shared), _SCORED), "scored")
     rare = scored.select("row", F.explode("rare").alias("w")).select("row", "w.word", "w.n").join(counts, "word", "left")
     log_count = F.log10(F.coalesce("c", F.lit(0)) + 1) * F.col("n")
-    rare = rare.groupBy("row").agg(F.sum(log_count).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"))
-    return scored.drop("rare").join(rare, "row", "left").select(
+    rare = rare.select("row", log_count.alias("more"), F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("known"))
+    whole = scored.select("row", "doc_id", "n_tokens", F.col("n_known").alias("known"), "base", "score", F.lit(0.0).alias("more"))
+    # a document's own row and its rare words' meet in one aggregation
+    sums = whole.unionByName(rare, allowMissingColumns=True).groupBy("row").agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n_tokens", "known", "base", "score", "more")))
+    return sums.select(
         "doc_id",
         out.alias("held_out"),
         "n_tokens",
-        (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
+        F.col("known").alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
+        (F.col("base") + F.col("more")).alias("base_score"),
+        (F.col("score") + F.col("more")).alias("score"),
     )
