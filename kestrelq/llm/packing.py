@@ -1,10 +1,13 @@
 """Best-fit packing of token sequences by bin completion.
 
 Documents are encoded once; only those above the capacity are cut. The plan needs no more than how
-many pieces each length has (at most `capacity` numbers, whatever the input's size): around the
-largest remaining length it searches the undominated fillings of the rest of a sequence by branch
-and bound, starting from the best-fit filling as incumbent, and applies the filling found as often
-as the counts allow. Pieces then take places by their rank among those of their length.
+many pieces each length has (at most `capacity` numbers, whatever the input's size). The best-fit
+plan of the whole list is the first incumbent. Bin completion then makes sequence after sequence:
+around the largest remaining length it enumerates undominated fillings by branch and bound, from the
+best-fit filling as incumbent, and applies a filling as often as the counts allow. If the plan found
+first is above the lower bound, the search goes back over sequences and tries other fillings, and
+leaves a branch as soon as its waste exceeds what a plan with one sequence less may waste. So the
+plan is never worse than best fit. Pieces take places by their rank among those of their length.
 """
 
 from __future__ import annotations
@@ -24,14 +27,78 @@ from .common import slices, texts, written
 from .wordpieces import encoder
 
 
-def complete(largest: int, lengths: list[int], counts: dict[int, int], capacity: int, nodes: int) -> dict[int, int]:
-    """The fullest filling found around one piece of the largest length. lengths: those with pieces
-    left, ascending. nodes bounds the search after the best-fit incumbent."""
+Fill = dict[int, int]  # pieces of each length
+Made = list[tuple[Fill, int]]  # fillings, and how many sequences take them
+
+
+def best_fit(histogram: dict[int, int], capacity: int) -> Made:
+    """Every piece, the longest first, goes where it leaves the least room. Sequences that are filled alike are
+    kept as one with their number."""
+    open_: dict[int, list[tuple[Fill, int]]] = {capacity: []}
+    rooms = [capacity]  # ascending
+
+    def put(fill: Fill, times: int, room: int) -> None:
+        if room not in open_:
+            open_[room] = []
+            bisect.insort(rooms, room)
+        open_[room].append((fill, times))
+
+    for n in sorted(histogram, reverse=True):
+        left = histogram[n]
+        while left:
+            at = bisect.bisect_left(rooms, n)
+            room = rooms[at]
+            if not open_[room] and room < capacity:
+                del open_[room], rooms[at]
+                continue
+            fill, times = open_[room].pop() if open_[room] else ({}, left)
+            new = not fill
+            k = min(room // n, left)  # the sequence it went to stays the tightest while it still fits
+            used = min(times, left // k)
+            put(fill | {n: k}, used, room - k * n)
+            left -= used * k
+            if not new and times > used:
+                open_[room].append((fill, times - used))
+    return [x for room in rooms for x in open_[room]]
+
+
+def least_sequences(histogram: dict[int, int], capacity: int) -> int:
+    """A lower bound: all pieces end to end, or the long ones by themselves with what can't go beside them."""
+    lengths = sorted(histogram)
+    count = np.array([histogram[n] for n in lengths], object)
+    size = np.array(lengths, object) * count
+    before, weight = np.concatenate([[0], np.cumsum(count)]), np.concatenate([[0], np.cumsum(size)])
+    half, end = bisect.bisect_right(lengths, capacity // 2), len(lengths)
+    out = -(-int(weight[-1]) // capacity)
+    for i in range(half):
+        over = max(half, bisect.bisect_right(lengths, capacity - lengths[i]))
+        middle = before[over] - before[half]
+        room = middle * capacity - (weight[over] - weight[half])
+        out = max(out, int(before[end] - before[over] + middle + max(0, -(-(weight[half] - weight[i] - room) // capacity))))
+    return out
+
+
+def _swappable(fill: Fill, largest: int, left: int, lengths: list[int], free) -> bool:
+    """Whether a longer piece could take the place of one or two of the filling's: such a filling is dominated."""
+    inner = [n for n, k in fill.items() for _ in range(min(2, k - (n == largest)))]
+    sums = {*inner, *(x + y for i, x in enumerate(inner) for y in inner[:i])}
+    for n in sums:
+        at = bisect.bisect_right(lengths, n) if n in fill else bisect.bisect_left(lengths, n)
+        while at < len(lengths) and lengths[at] <= n + left:
+            if free(lengths[at]) > 0:
+                return True
+            at += 1
+    return False
+
+
+def fillings(largest: int, lengths: list[int], counts: Fill, capacity: int, nodes: int, most: int = 1) -> list[tuple[int, Fill]]:
+    """Up to `most` undominated fillings around one piece of the largest length, as (waste, pieces), the fullest
+    first. lengths: those with pieces left, ascending. nodes bounds the search after the best-fit incumbent."""
     room = capacity - largest
     free = lambda n, used: counts[n] - used.get(n, 0)
 
     # incumbent: best fit, always the longest piece that still goes in
-    best: dict[int, int] = {largest: 1}
+    best: Fill = {largest: 1}
     left = room
     i = bisect.bisect_right(lengths, left)
     while i and left:
@@ -41,29 +108,30 @@ def complete(largest: int, lengths: list[int], counts: dict[int, int], capacity:
             best[n] = best.get(n, 0) + k
             left -= k * n
         i = min(i - 1, bisect.bisect_right(lengths, left))
-    best_left, budget = left, nodes
-    if not best_left:
-        return best
+    found = [(left, best)]
+    if not left and most == 1:
+        return found
 
     # depth first over non-increasing lengths; a node is dropped when even its whole room, or all
     # pieces it may still take, can't beat the incumbent's waste
     sums = np.cumsum([n * counts[n] for n in lengths]).tolist()
-    start: dict[int, int] = {largest: 1}
-    stack = [(bisect.bisect_right(lengths, room), room, start)]
-    while stack and best_left and budget:
+    stack = [(bisect.bisect_right(lengths, room), room, {largest: 1})]
+    worst = left + (most > 1)
+    while stack and worst and nodes:
         i, left, used = stack.pop()
-        budget -= 1
+        nodes -= 1
         j = bisect.bisect_right(lengths, left, 0, i)
-        if left < best_left:
-            best, best_left = used, left
-            if not left:
-                break
-        if not j or left - min(left, sums[j - 1]) >= best_left:
+        if j and lengths[j - 1] == left and free(left, used) > 0:
+            # one exact last piece dominates every set of smaller pieces with the same sum
+            used, left, j = used | {left: used.get(left, 0) + 1}, 0, 0
+        if left < worst and (most == 1 or all(free(n, used) <= 0 for n in lengths[: bisect.bisect_right(lengths, left)])):
+            if most == 1:
+                found, worst = [(left, used)], left
+            elif all(used != f for _, f in found) and not _swappable(used, largest, left, lengths, lambda n: free(n, used)):
+                found = sorted([*found, (left, used)], key=lambda x: x[0])[:most]
+                worst = found[-1][0] + (len(found) < most) * capacity
+        if not j or left - min(left, sums[j - 1]) >= worst:
             continue
-        # one exact last piece dominates every set of smaller pieces with the same sum
-        if lengths[j - 1] == left and free(left, used) > 0:
-            best, best_left = used | {left: used.get(left, 0) + 1}, 0
-            break
         options = []
         for at in range(j - 1, max(-1, j - 9), -1):
             n = lengths[at]
@@ -72,23 +140,88 @@ def complete(largest: int, lengths: list[int], counts: dict[int, int], capacity:
         if j - 9 >= 0:  # shorter firsts: the next group of lengths, once the longer ones are searched
             stack.append((j - 8, left, used))
         stack.extend(reversed(options))
-    return best
+    return found
+
 
+class _Left:
+    """Pieces not yet packed."""
 
-def plan(histogram: dict[int, int], capacity: int, nodes: int = 400) -> list[tuple[dict[int, int], int]]:
-    """(pieces of each length, how many sequences take them), in order of making."""
-    counts = {n: c for n, c in histogram.items() if c > 0}
-    lengths = sorted(counts)
-    out = []
-    while lengths:
-        fill = complete(lengths[-1], lengths, counts, capacity, nodes)
-        times = min(counts[n] // k for n, k in fill.items())
-        out.append((fill, times))
+    def __init__(self, histogram: dict[int, int]):
+        self.counts = {n: c for n, c in histogram.items() if c > 0}
+        self.lengths = sorted(self.counts)
+
+    def take(self, fill: Fill, times: int) -> None:
         for n, k in fill.items():
-            counts[n] -= k * times
-            if not counts[n]:
-                del lengths[bisect.bisect_left(lengths, n)]
-    return out
+            self.counts[n] -= k * times
+            if not self.counts[n]:
+                del self.lengths[bisect.bisect_left(self.lengths, n)]
+
+    def put_back(self, fill: Fill, times: int) -> None:
+        for n, k in fill.items():
+            if not self.counts[n]:
+                bisect.insort(self.lengths, n)
+            self.counts[n] += k * times
+
+    def times(self, fill: Fill) -> int:
+        return min(self.counts[n] // k for n, k in fill.items())
+
+
+def _search(histogram: dict[int, int], capacity: int, sequences: int, nodes: int, budget: int, most: int) -> tuple[Made | None, int]:
+    """A plan with no more than `sequences`, if the search meets one before its budget of steps is spent, and what is
+    left of the budget. Depth first over sequences; a branch ends when its waste is above that of such a plan."""
+    left = _Left(histogram)
+    waste = sequences * capacity - sum(n * c for n, c in histogram.items())
+    made: Made = []
+    options: list[list[tuple[int, Fill]]] = []
+    deeper = True
+    while budget > 0:
+        if deeper:
+            if not left.lengths:
+                return made, budget
+            budget -= 1
+            found = fillings(left.lengths[-1], left.lengths, left.counts, capacity, nodes, most)
+            options.append([x for x in reversed(found) if x[0] <= waste])  # the fullest last
+        while options and not options[-1]:
+            options.pop()
+            if not options:
+                return None, budget
+            fill, times = made.pop()
+            left.put_back(fill, times)
+            waste += times * (capacity - sum(n * k for n, k in fill.items()))
+        lost, fill = options[-1].pop()
+        times = left.times(fill) if not lost else min(left.times(fill), waste // lost)
+        left.take(fill, times)
+        made.append((fill, times))
+        waste -= times * lost
+        deeper = True
+    return None, 0
+
+
+def plan(histogram: dict[int, int], capacity: int, nodes: int = 400, budget: int = 4000, most: int = 4) -> Made:
+    """(pieces of each length, how many sequences take them), in order of making; never more sequences than best
+    fit. nodes: steps of the search for one filling; budget: fillings made in the search over sequences, which
+    begins where the first plan misses the lower bound; most: fillings tried at one place there."""
+    total = lambda made: sum(times for _, times in made)
+    histogram = {n: c for n, c in histogram.items() if c > 0}
+    if not histogram:
+        return []
+    least = least_sequences(histogram, capacity)
+    best = best_fit(histogram, capacity)
+    if total(best) == least:
+        return best
+    left, made = _Left(histogram), []
+    while left.lengths:
+        fill = fillings(left.lengths[-1], left.lengths, left.counts, capacity, nodes)[0][1]
+        times = left.times(fill)
+        left.take(fill, times)
+        made.append((fill, times))
+    best = min(made, best, key=total)
+    while total(best) > least and budget > 0:
+        better, budget = _search(histogram, capacity, total(best) - 1, nodes, budget, most)
+        if better is None:
+            break
+        best = better
+    return best
 
 
 def intervals(made: list[tuple[dict[int, int], int]]) -> dict[int, tuple[np.ndarray, ...]]:

@@ -1,5 +1,6 @@
 """The operators against brute force, on small fixtures with nulls, empty and long texts, ties and clashing names."""
 
+import bisect
 import hashlib
 import math
 import random
@@ -373,6 +374,58 @@ def test_bin_completion_is_near_the_bound():
     assert sum(t for _, t in packing.plan(Counter([6, 5, 5, 4, 4, 3, 3]), 10)) == 3
 
 
+def brute_best_fit(lengths, capacity):
+    rooms, n = [], 0
+    for x in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(rooms, x)
+        room = rooms.pop(at) if at < len(rooms) else capacity
+        n += room == capacity
+        if room > x:
+            bisect.insort(rooms, room - x)
+    return n
+
+
+def least_bins(lengths, capacity):
+    """By trying every sequence for every piece."""
+    lengths = sorted(lengths, reverse=True)
+    best = [len(lengths)]
+
+    def place(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(lengths):
+            best[0] = len(rooms)
+            return
+        for room in set(rooms):
+            if room >= lengths[i]:
+                at = rooms.index(room)
+                place(i + 1, [*rooms[:at], room - lengths[i], *rooms[at + 1 :]])
+        place(i + 1, [*rooms, capacity - lengths[i]])
+
+    place(0, [])
+    return best[0] if lengths else 0
+
+
+def test_plans_are_never_worse_than_best_fit():
+    total = lambda made: sum(t for _, t in made)
+    for seed in range(200):
+        rng = np.random.default_rng(seed)
+        n = int(rng.integers(1, 400))
+        lengths = (rng.integers(1000, 2100, n), rng.integers(1, 4097, n), rng.integers(600, 1400, n), np.clip(rng.lognormal(6.3, 1.1, n), 1, 4096).astype(int))[seed % 4].tolist()
+        fit, made = packing.best_fit(Counter(lengths), 4096), packing.plan(Counter(lengths), 4096, budget=300)
+        for x in (fit, made):
+            assert all(sum(k * c for k, c in f.items()) <= 4096 for f, _ in x)
+            assert sum((Counter({k: c * t for k, c in f.items()}) for f, t in x), Counter()) == Counter(lengths)
+        assert total(fit) == brute_best_fit(lengths, 4096)
+        assert packing.least_sequences(Counter(lengths), 4096) <= total(made) <= total(fit)
+    rng = random.Random(7)
+    for _ in range(150):
+        lengths = [rng.randint(1, 20) for _ in range(rng.randint(0, 9))]
+        want = least_bins(lengths, 20)
+        assert packing.least_sequences(Counter(lengths), 20) <= want if lengths else True
+        assert total(packing.plan(Counter(lengths), 20)) == want
+
+
 def test_bpe_is_the_library(spark, docs, rows):
     from tokenizers import Tokenizer
 
