@@ -12,6 +12,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 _STEP = re.compile(r'\.("(?:[^"\\]|\\.)*"|[^.\[]+)|\[(#(?:-\d+)?|\d+)\]')
 Step = str | tuple[bool, int]
@@ -21,6 +22,19 @@ class _MISSING:
     """Stands for no value; a class, so that it is the same one in every worker."""
 
 
+class _Number(float):
+    """A number with a point or an exponent, which keeps its text."""
+
+    def __new__(cls, text: str):
+        out = super().__new__(cls, text)
+        out.text = text
+        return out
+
+
+def _refuse(word: str):
+    raise ValueError(f"{word} is no JSON")
+
+
 def steps(path: str) -> list[Step]:
     """Keys as text; places as (counted from the end, number)."""
     if not path.startswith("$"):
@@ -42,13 +56,30 @@ def steps(path: str) -> list[Step]:
 
 def parsed(text: str | None):
     try:
-        return _MISSING if text is None else json.loads(text)
+        return _MISSING if text is None else json.loads(text, parse_float=_Number, parse_constant=_refuse)
     except ValueError:
         return _MISSING
 
 
+def rendered(value, indent: int | str | None = None, level: int = 0) -> str:
+    """As JSON text, on one line or indented; untouched numbers as they were written."""
+    if isinstance(value, _Number):
+        return value.text
+    if not value or not isinstance(value, (dict, list)):
+        return json.dumps(value, ensure_ascii=False)
+    step = indent if isinstance(indent, str) else " " * (indent or 0)
+    line = "" if indent is None else "\n" + step * (level + 1)
+    colon = ":" if indent is None else ": "
+    inner = lambda x: rendered(x, indent, level + 1)
+    if isinstance(value, dict):
+        parts, ends = [json.dumps(k, ensure_ascii=False) + colon + inner(v) for k, v in value.items()], "{}"
+    else:
+        parts, ends = [inner(v) for v in value], "[]"
+    return ends[0] + line + ("," + line).join(parts) + ("" if indent is None else "\n" + step * level) + ends[1]
+
+
 def compact(value) -> str:
-    return json.dumps(value, separators=(",", ":"), ensure_ascii=False)
+    return rendered(value)
 
 
 def _place(node: list, step: tuple[bool, int]) -> int:
@@ -202,7 +233,7 @@ def json_extract(x: Column, path: str) -> Column:
 
 
 def json_pretty(x: Column, indent: int = 4) -> Column:
-    return _column(x, lambda node: json.dumps(node, indent=indent, ensure_ascii=False))
+    return _column(x, lambda node: rendered(node, indent))
 
 
 def json_valid(x: Column) -> Column:
@@ -215,7 +246,7 @@ def type_name(v) -> str:
         return "null"
     if isinstance(v, bool):
         return "true" if v else "false"
-    names = {int: "integer", float: "real", str: "text", list: "array", dict: "object"}
+    names = {int: "integer", float: "real", _Number: "real", str: "text", list: "array", dict: "object"}
     return names[type(v)]
 
 
@@ -257,3 +288,42 @@ def json_tree(table: DataFrame, column: str, *keep: str) -> DataFrame:
         return [dict(zip(("key", "value", "type", "atom", "id", "parent", "fullkey", "path"), r)) for r in out]
 
     return table.select(*keep, F.inline(_column(F.col(column), f, _ROW)))
+
+
+def json_quote(x: Column, kind: str = "text") -> Column:
+    """A value as JSON text: text quoted, numbers as they are, null as null; kind json leaves JSON as it is."""
+    if kind == "json":
+        return x
+    if kind == "text":
+        inner = F.to_json(F.array(x.cast("string")))
+        return F.coalesce(F.substring(inner, F.lit(2), F.length(inner) - 2), F.lit("null"))
+    return F.coalesce(x.cast("string"), F.lit("null"))
+
+
+def json_array(*parts: Column) -> Column:
+    """Of JSON texts, such as json_quote gives them."""
+    return F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]"))
+
+
+def json_group_object(key: Column, value: Column, order: Column) -> Column:
+    """Aggregate: an object of keys and values (JSON texts) in an order; rows with a null key are left out."""
+    pairs = F.array_sort(F.collect_list(F.when(key.isNotNull(), F.struct(order.alias("o"), json_quote(key).alias("k"), value.alias("v")))))
+    return F.concat(F.lit("{"), F.array_join(F.transform(pairs, lambda p: F.concat(p["k"], F.lit(":"), p["v"])), ","), F.lit("}"))
+
+
+@F.pandas_udf(LongType())
+def json_error_position(text: pd.Series) -> pd.Series:
+    """0 for JSON, else the place (from 1) of the first character that can't be part of it; null for null."""
+
+    def place(x):
+        if x is None:
+            return None
+        try:
+            json.loads(x, parse_constant=_refuse)
+            return 0
+        except json.JSONDecodeError as e:
+            return e.pos + 1
+        except ValueError:
+            return 1
+
+    return pd.Series([place(x) for x in text], dtype="Int64")

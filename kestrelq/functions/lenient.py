@@ -102,6 +102,11 @@ def _later(t: Column, months: Column) -> Column:
     return F.timestamp_micros(F.unix_micros(first) + (F.unix_micros(t) - F.unix_micros(F.date_trunc("month", t))))
 
 
+def _capped_month(t: Column, months: int) -> Column:
+    """The same day some months later, or the last one of a month that is too short."""
+    return F.timestamp_micros(F.unix_micros(F.add_months(t.cast("date"), months).cast("timestamp")) + (F.unix_micros(t) - F.unix_micros(F.date_trunc("day", t))))
+
+
 def timediff(a: Column, b: Column) -> Column:
     """What to add to b for a: sign, whole years and months, days, and time, as `+0000-00-00 00:00:00.000`."""
     a, b = a.cast("timestamp"), b.cast("timestamp")
@@ -119,13 +124,115 @@ def timediff(a: Column, b: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), text)
 
 
+def _unit(word: str) -> str:
+    return word.lower().rstrip("s")
+
+
+def instant(x: Column, *modifiers: str) -> Column:
+    """A time value as a timestamp: `YYYY-MM-DD` with or without `HH:MM[:SS[.fff]]` (`T` or a blank between, `Z` or
+    an offset behind), a time alone (on 2000-01-01), a Julian day number, or with a first modifier of unixepoch,
+    julianday or auto a number of that kind. Null for anything else."""
+    text = F.trim(x.cast("string"))
+    zone = r"(?: ?(?:Z|z|[+-](?:0\d|1[0-4]):[0-5]\d))?"
+    clock = r"(?:[01]\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:\.\d+)?)?"
+    day = r"\d{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])"
+    # a day that its month lacks runs into the next month
+    first = F.to_timestamp(F.concat(F.substring(text, 1, 8), F.lit("01")), "yyyy-MM-dd")
+    date = F.timestamp_micros(F.unix_micros(first) + (F.substring(text, 9, 2).cast("int") - 1).cast("long") * 86_400_000_000)
+    offset = F.regexp_extract(text, r"([+-])(\d\d):(\d\d)$", 1)
+    minutes = F.regexp_extract(text, r"[+-](\d\d):(\d\d)$", 1).try_cast("int") * 60 + F.regexp_extract(text, r"[+-](\d\d):(\d\d)$", 2).try_cast("int")
+    shift = F.when(offset == "", 0).otherwise(F.when(offset == "-", minutes).otherwise(-minutes))
+    hms = lambda at: (F.substring(at, 1, 2).cast("int") * 3600 + F.substring(at, 4, 2).cast("int") * 60) * 1_000_000 + F.coalesce(F.round(F.regexp_extract(at, r"^\d\d:\d\d:(\d\d(?:\.\d+)?)", 1).try_cast("double") * 1000) * 1000, F.lit(0)).cast("long")
+    plus = lambda base, micros: F.timestamp_micros(F.unix_micros(base) + micros)
+    minute = shift.cast("long") * 60_000_000
+    number = F.when(text.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)$"), text.try_cast("double"))
+    julian = F.when((number >= 0) & (number < 5373484.5), F.timestamp_micros(F.round((number - 2440587.5) * 86400e3).cast("long") * 1000))
+    epoch = F.when((number >= -62167219200) & (number <= 253402300799), F.timestamp_micros(F.round(number * 1e3).cast("long") * 1000))
+    kind = modifiers[0].strip().lower() if modifiers else ""
+    if kind == "unixepoch":
+        out = epoch
+    elif kind == "julianday":
+        out = julian
+    else:
+        if kind == "auto":
+            julian = F.when((number >= 0) & (number < 5373484.5), julian).otherwise(epoch)
+        out = (
+            F.when(text.rlike(f"^{day}$"), date)
+            .when(text.rlike(f"^{day}[T ]+{clock}{zone}$"), plus(date, hms(F.regexp_extract(text, rf"({clock})", 1)) + minute))
+            .when(text.rlike(f"^{clock}{zone}$"), plus(F.lit("2000-01-01").cast("timestamp"), hms(F.regexp_extract(text, rf"({clock})", 1)) + minute))
+            .otherwise(julian)
+        )
+    rest = modifiers[1:] if kind in ("unixepoch", "julianday", "auto") else modifiers
+    return modified(out, *(m for m in rest if m.strip().lower() not in ("subsec", "subsecond")))
+
+
+def _shown(pattern: str, x: Column, modifiers: tuple[str, ...]) -> Column:
+    fine = any(m.strip().lower() in ("subsec", "subsecond") for m in modifiers)
+    return F.date_format(instant(x, *modifiers), pattern + (".SSS" if fine and "s" in pattern else ""))
+
+
+def date(x: Column, *modifiers: str) -> Column:
+    return _shown("yyyy-MM-dd", x, modifiers)
+
+
+def time(x: Column, *modifiers: str) -> Column:
+    """HH:MM:SS, with milliseconds after a modifier of subsec."""
+    return _shown("HH:mm:ss", x, modifiers)
+
+
+def datetime(x: Column, *modifiers: str) -> Column:
+    return _shown("yyyy-MM-dd HH:mm:ss", x, modifiers)
+
+
+def octet_length(x: Column) -> Column:
+    """Bytes of the UTF-8 text."""
+    return F.octet_length(x.cast("string"))
+
+
+def trim(x: Column, characters: str = " ", left: bool = True, right: bool = True) -> Column:
+    """Takes any of the characters off the ends."""
+    if not characters:
+        return x
+    inner = "".join("\\" + c if not c.isalnum() else c for c in characters)
+    out = F.regexp_replace(x, f"^[{inner}]+", "") if left else x
+    return F.regexp_replace(out, f"[{inner}]+$", "") if right else out
+
+
+def iif(*arguments: Column) -> Column:
+    """condition, value, condition, value, ..., and a last value for none (null without one)."""
+    pairs, rest = arguments[: len(arguments) // 2 * 2], arguments[len(arguments) // 2 * 2 :]
+    out = F.when(pairs[0], pairs[1])
+    for i in range(2, len(pairs), 2):
+        out = out.when(pairs[i], pairs[i + 1])
+    return out.otherwise(rest[0]) if rest else out
+
+
+def log(base: Column, x: Column) -> Column:
+    """Null where either is no positive number, or the base is 1."""
+    return F.when((base > 0) & (x > 0) & (base != 1), F.ln(x) / F.ln(base))
+
+
+def likelihood(x: Column, probability: float = 0.5) -> Column:
+    """A hint for a planner that Spark does not need: the value itself."""
+    if not 0 <= probability <= 1:
+        raise ValueError("the probability is between 0.0 and 1.0")
+    return x
+
+
 def modified(t: Column, *modifiers: str) -> Column:
     """A timestamp after modifiers: '+3 days', 'start of month', 'weekday 0', and the like. Months that overflow
-    run into the next month."""
+    run into the next month (`ceiling`), or after a modifier of `floor` end on its last day. localtime and utc
+    go to and from the session's time zone."""
     t = t.cast("timestamp")
-    for m in modifiers:
+    for i, m in enumerate(modifiers):
         w = m.strip().lower().split()
-        if w[:2] == ["start", "of"]:
+        if i and w[0] in ("ceiling", "floor"):
+            continue  # taken with the months before it
+        if w[0] == "localtime":
+            t = F.from_utc_timestamp(t, F.current_timezone())
+        elif w[0] == "utc":
+            t = F.to_utc_timestamp(t, F.current_timezone())
+        elif w[:2] == ["start", "of"]:
             t = F.date_trunc(w[2], t)
         elif w[0] == "weekday":
             t = t + F.make_interval(days=F.pmod(F.lit(int(w[1])) - (F.dayofweek(t) - 1), F.lit(7)))
@@ -134,7 +241,8 @@ def modified(t: Column, *modifiers: str) -> Column:
             t = F.timestamp_micros(F.unix_micros(t) + F.lit(round(seconds * 1e6)))
         elif w[1].rstrip("s") in ("month", "year"):
             months = int(w[0]) * (12 if w[1].startswith("year") else 1)
-            t = _later(t, F.lit(months))
+            after = modifiers[i + 1].strip().lower() if i + 1 < len(modifiers) else ""
+            t = _capped_month(t, months) if after == "floor" else _later(t, F.lit(months))
         else:
             raise ValueError(f"unknown modifier {m!r}")
     return t

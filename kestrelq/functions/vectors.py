@@ -82,3 +82,46 @@ def int8(a: Column) -> Column:
     """Components scaled so that the largest is 127."""
     top = F.array_max(F.transform(doubles(a), lambda x: F.abs(x)))
     return F.transform(doubles(a), lambda x: F.when(top > 0, F.round(x * 127 / top)).otherwise(0).cast("tinyint"))
+
+
+def from_text(x: Column, width: int | None = None) -> Column:
+    """'[1, 2.5]' as a vector; null for other text and, with a width, for vectors of another one."""
+    v = F.from_json(F.when(x.rlike(r"^\s*\[.*\]\s*$"), x), "array<double>")
+    v = F.when(F.forall(v, lambda y: y.isNotNull()), v)
+    return v if width is None else F.when(F.size(v) == width, v)
+
+
+def checked(v: Column, width: int) -> Column:
+    """The vector; an error where it has another width. Null stays null."""
+    wrong = F.raise_error(F.concat(F.lit(f"expected {width} dimensions, not "), F.size(v).cast("string"))).cast("array<double>")
+    return F.when(v.isNull() | (F.size(v) == width), doubles(v)).otherwise(wrong)
+
+
+def concat(a: Column, b: Column) -> Column:
+    return F.concat(doubles(a), doubles(b))
+
+
+def subvector(a: Column, start: int, width: int) -> Column:
+    """width components from the start-th (from 1) on."""
+    return F.slice(doubles(a), start, width)
+
+
+def half(a: Column) -> Column:
+    """Components rounded to 16-bit floating point: 11 significant bits, to even, 2^-24 at least; beyond 65504 infinite."""
+    scale = lambda x: F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.abs(x))), F.lit(-14)) - 10)
+    rounded = lambda x: F.rint(x / scale(x)) * scale(x)
+    sign = lambda x: F.when(x < 0, F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
+    return F.transform(doubles(a), lambda x: F.when(x == 0, x).when(F.abs(rounded(x)) > 65504, sign(x)).otherwise(rounded(x)))
+
+
+def sparse(a: Column) -> Column:
+    """place (from 1) -> component, without zeros."""
+    return F.map_from_entries(F.filter(F.transform(doubles(a), lambda x, i: F.struct((i + 1).alias("key"), x.alias("value"))), lambda e: e["value"] != 0))
+
+
+def dense(a: Column, width: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: F.coalesce(F.try_element_at(a, i), F.lit(0.0)))
+
+
+def sparse_dot(a: Column, b: Column) -> Column:
+    return _total(F.transform(F.map_entries(a), lambda e: e["value"] * F.coalesce(F.try_element_at(b, e["key"]), F.lit(0.0))))

@@ -153,8 +153,13 @@ def search(docs: DataFrame, query: str, text: str = "text") -> DataFrame:
     return docs.where(Query(query).predicate(F.col(text)))
 
 
+def _literal(mark: str) -> str:
+    """For the right side of a replacement."""
+    return mark.replace("\\", "\\\\").replace("$", "\\$")
+
+
 def highlight(text: Column, word: str, before: str = "[", after: str = "]") -> Column:
-    return F.regexp_replace(text, rf"(?i)(?<![\p{{L}}\p{{N}}])({re.escape(word)})(?![\p{{L}}\p{{N}}])", f"{before}$1{after}")
+    return F.regexp_replace(text, rf"(?i)(?<![\p{{L}}\p{{N}}])({re.escape(word)})(?![\p{{L}}\p{{N}}])", f"{_literal(before)}$1{_literal(after)}")
 
 
 def trigrams(text: Column) -> Column:

@@ -63,11 +63,16 @@ def reciprocal_rank(lists: list[DataFrame], id_: str, constant: int = 60) -> Dat
     return out.groupBy(id_).agg(F.sum("s").alias("score"))
 
 
+def _whole(name: str):
+    """An aggregate over a short list, which is one partition already."""
+    return getattr(F, name)("score").over(Window.partitionBy(F.lit(1)))
+
+
 def scaled(scores: DataFrame, id_: str, score: str) -> DataFrame:
-    """Scores mapped to 0..1 by their least and greatest; 1 where all are alike."""
-    ends = scores.agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
-    span = F.col("_hi") - F.col("_lo")
-    return scores.join(F.broadcast(ends)).select(id_, F.when(span > 1e-12, (F.col(score) - F.col("_lo")) / span).otherwise(F.lit(1.0)).alias("s"))
+    """Scores mapped to 0..1 by their least and greatest; 1 where all are alike. The list is read once."""
+    x = scores.select(id_, F.col(score).alias("score"))
+    low, high = _whole("min"), _whole("max")
+    return x.select(id_, F.when(high - low > 1e-12, (F.col("score") - low) / (high - low)).otherwise(F.lit(1.0)).alias("s"))
 
 
 def minmax(vector_scores: DataFrame, word_scores: DataFrame, id_: str, weight: float = 0.35) -> DataFrame:
@@ -90,8 +95,8 @@ def convex(vector_scores: DataFrame, word_scores: DataFrame, id_: str, weight: f
     """Each side divided by its greatest score; a side without the row counts 0."""
 
     def part(x: DataFrame, name: str) -> DataFrame:
-        top = x.agg(F.max("score").alias("_top"))  # one row
-        return x.join(F.broadcast(top)).select(id_, F.when(F.col("_top") > 0, F.col("score") / F.col("_top")).otherwise(F.lit(0.0)).alias(name))
+        top = _whole("max")
+        return x.select(id_, F.when(top > 0, F.col("score") / top).otherwise(F.lit(0.0)).alias(name))
 
     both = part(vector_scores, "v").join(part(word_scores, "w"), id_, "full")
     return both.select(id_, (weight * F.coalesce("v", F.lit(0.0)) + (1 - weight) * F.coalesce("w", F.lit(0.0))).alias("score"))
@@ -133,3 +138,58 @@ def diversified(candidates: DataFrame, group: str, id_: str, score: str, vector:
     kind = rows.schema["g"].dataType.simpleString()
     found = rows.groupBy("g").applyInArrow(pick, f"g {kind}, i long, rank int")
     return found.select(F.col("g").alias(group), F.col("i").alias(id_), "rank")
+
+
+def theoretical(vector_scores: DataFrame, word_scores: DataFrame, id_: str, ceiling: float, weight: float = 0.35) -> DataFrame:
+    """Each side divided by a bound that no result has a say in: a cosine held to 0..1, words by the greatest score
+    that the query could have (0 where no document has its words)."""
+    both = vector_scores.select(id_, F.col("score").alias("v")).join(word_scores.select(id_, F.col("score").alias("w")), id_, "full")
+    return both.select(id_, confidence(F.col("v"), F.col("w"), F.lit(float(ceiling)), weight).alias("score"))
+
+
+def separation(scores: DataFrame, name: str = "separation") -> DataFrame:
+    """One row: how far the best of a list's scores stands above the mean of the others, as a share of it, from 0 to
+    1; 0 for lists of fewer than two, and where the best isn't positive."""
+    first, n = F.max("score"), F.count("score")
+    rest = (F.sum("score") - first) / (n - 1)
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (first - rest) / first))
+    return scores.agg(F.coalesce(F.when((n >= 2) & (first > 1e-7), share), F.lit(0.0)).alias(name))
+
+
+def adaptive_weight(vector_separation: Column, word_separation: Column, unknown_share: Column, identifier_share: Column, coverage: Column, base: float = 0.35, gains: tuple[float, float, float, float] = (0.1, 0.1, 0.1, 0.1), low: float = 0.05, high: float = 0.95) -> Column:
+    """The vector side's weight for one query: more for words that no document has and for a vector list whose best
+    stands out further; less for words that look like identifiers and for a best text that has all the words.
+    gains: of unknown words, identifiers, separation, coverage."""
+    w = base + gains[0] * unknown_share - gains[1] * identifier_share + gains[2] * (vector_separation - word_separation) - gains[3] * coverage
+    return F.greatest(F.lit(low), F.least(F.lit(high), w))
+
+
+def reranked(hits: DataFrame, score: Column, id_: str, k: int | None = None) -> DataFrame:
+    """hits ordered anew by another score, such as a cross-encoder's as a pandas UDF; ties to the smaller id."""
+    out = hits.withColumn("score", score).orderBy(F.desc("score"), id_)
+    return out if k is None else out.limit(k)
+
+
+def one_sided(id_: str, vector_scores: DataFrame | None = None, word_scores: DataFrame | None = None, ceiling: float = 0.0, weight: float = 0.35) -> DataFrame:
+    """id, confidence for a query of words, of a vector, or of both: a side that is absent counts 0."""
+    if vector_scores is None and word_scores is None:
+        raise ValueError("a query needs words or a vector")
+    none = (vector_scores if vector_scores is not None else word_scores).limit(0)
+    found = theoretical(vector_scores if vector_scores is not None else none, word_scores if word_scores is not None else none, id_, ceiling, weight)
+    return found.withColumnRenamed("score", "confidence")
+
+
+def exact_first(passing: int, total: int, width: int = 16, effort: int = 40) -> bool:
+    """Whether a filtered search should measure all passing rows rather than ask an index: when they are 1,000 or
+    fewer, or fewer than the root of what a search of the index touches times the rows."""
+    return passing <= 1000 or passing < (effort * 2 * width * total) ** 0.5
+
+
+def int8_rescored(rows: DataFrame, query: list[float], k: int, id_: str = "vec_id", vector: str = "embedding", wide: int = 4) -> DataFrame:
+    """id, distance: cosine distance on components of 8 bits picks wide * k rows, exact distances order them."""
+    short = rows.select(id_, vector, vectors.int8(F.col(vector)).alias("_short"))
+    top = max(map(abs, query)) or 1.0
+    coarse = vectors.cosine_distance(F.col("_short"), F.array(*(F.lit(float(round(x * 127 / top))) for x in query)))
+    picked = short.where(F.col(vector).isNotNull()).orderBy(coarse, id_).limit(wide * k)
+    exact = vectors.cosine_distance(F.col(vector), F.array(*map(F.lit, map(float, query))))
+    return picked.select(id_, exact.alias("distance")).orderBy("distance", id_).limit(k)
