@@ -142,7 +142,7 @@ def instant(x: Column, *modifiers: str) -> Column:
     offset = F.regexp_extract(text, r"([+-])(\d\d):(\d\d)$", 1)
     minutes = F.regexp_extract(text, r"[+-](\d\d):(\d\d)$", 1).try_cast("int") * 60 + F.regexp_extract(text, r"[+-](\d\d):(\d\d)$", 2).try_cast("int")
     shift = F.when(offset == "", 0).otherwise(F.when(offset == "-", minutes).otherwise(-minutes))
-    hms = lambda at: (F.substring(at, 1, 2).cast("int") * 3600 + F.substring(at, 4, 2).cast("int") * 60) * 1_000_000 + F.coalesce(F.round(F.regexp_extract(at, r"^\d\d:\d\d:(\d\d(?:\.\d+)?)", 1).try_cast("double") * 1000) * 1000, F.lit(0)).cast("long")
+    hms = lambda at: (F.substring(at, 1, 2).cast("long") * 3600 + F.substring(at, 4, 2).cast("long") * 60) * 1_000_000 + F.coalesce(F.round(F.regexp_extract(at, r"^\d\d:\d\d:(\d\d(?:\.\d+)?)", 1).try_cast("double") * 1000) * 1000, F.lit(0)).cast("long")
     plus = lambda base, micros: F.timestamp_micros(F.unix_micros(base) + micros)
     minute = shift.cast("long") * 60_000_000
     number = F.when(text.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)$"), text.try_cast("double"))

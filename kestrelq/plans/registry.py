@@ -42,4 +42,4 @@ def query(name: str, oracle: str | None = None, *tables: str):
 
 def load() -> None:
     """Registers every query."""
-    from . import formats, relational, retrieval, scalar  # noqa: F401
+    from . import dialect, formats, relational, retrieval, scalar, searching  # noqa: F401
