@@ -26,7 +26,7 @@ from .common import claim, slices, texts
 UNKNOWN = "und"
 _WORDY = re.compile(r"[^\W\d_]")
 _PAD = b"\n\n\n"
-_TABLES: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+_TABLES: dict[str, list[tuple[np.ndarray, ...]]] = {}
 
 
 class Model:
@@ -68,33 +68,43 @@ class Model:
         p = np.where(counts > 0, seen, escape * rest / np.where(closed, 1, left))
         return np.where(total > 0, p, lower)
 
-    def tables(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each language: the row of every three-symbol context, and bits by row and symbol.
-        Rows 0 to size*size-1 are the order-2 contexts, for those that order 3 hasn't seen."""
+    def tables(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each language: the block of the nearer two symbols, the row of a block and the third symbol, and bits by
+        row and symbol. Only contexts that training has seen have rows of their own, so memory follows the sample."""
         if self.key not in _TABLES:
             _TABLES.clear()
             claim("langid", _TABLES.clear)
             _TABLES[self.key] = [self._table(*g) for g in self.grams]
         return _TABLES[self.key]
 
-    def _table(self, gram: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _table(self, gram: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = self.size
         p = np.full((1, n), 1 / 256)
         p[0, -1] = self.others / 256
         p /= p.sum()
-        for k in range(3):
+        for k in range(2):
             width = n ** (k + 1)
             flat = np.bincount(gram % width, count, width).reshape(-1, n)
             p = self._extend(np.tile(p, (len(flat) // len(p), 1)), flat)
-        context, row = np.unique(gram // n, return_inverse=True)
-        third = np.zeros((len(context), n))
-        third[row, gram % n] = count
-        third = self._extend(p[context % (n * n)], third)
-        index = np.tile(np.arange(n * n, dtype=np.int32), n)
-        index[context] = n * n + np.arange(len(context), dtype=np.int32)
-        bits = -np.log2(np.maximum(np.concatenate([p, third]), 1e-30))
+        rows = [p]  # of order 1, for every symbol; then of orders 2 and 3, for contexts that training has seen
+        two, at = np.unique(gram // n % (n * n), return_inverse=True)
+        seen = np.zeros((len(two), n))
+        np.add.at(seen, (at, gram % n), count)
+        rows.append(self._extend(p[two % n], seen))
+        three, where = np.unique(gram // n, return_inverse=True)
+        seen = np.zeros((len(three), n))
+        seen[where, gram % n] = count
+        pair = np.searchsorted(two, three % (n * n))
+        rows.append(self._extend(rows[1][pair], seen))
+        # block of the nearer two symbols: one for each nearest symbol where the pair is new, then one for each pair seen
+        block = np.tile(np.arange(n, dtype=np.int32), n)
+        block[two] = n + np.arange(len(two), dtype=np.int32)
+        # row of (block, third symbol): the longest context that training has seen
+        row = np.repeat(np.arange(n + len(two), dtype=np.int32), n)
+        row[(n + pair) * n + three // (n * n)] = n + len(two) + np.arange(len(three), dtype=np.int32)
+        bits = -np.log2(np.maximum(np.concatenate(rows), 1e-30))
         bits[:, -1] += np.log2(self.others)
-        return index * n, bits.astype(np.float32).reshape(-1)
+        return block * n, row * n, bits.astype(np.float32).reshape(-1)
 
     def code_lengths(self, docs: list[bytes]) -> np.ndarray:
         """Bits of each document (rows) under each language."""
@@ -104,23 +114,23 @@ class Model:
             return out
         s = self.symbol[np.frombuffer(b"".join([_PAD + docs[i] for i in full]), np.uint8)]
         n = self.size
-        context = (s[:-3] * n + s[1:-2]) * n + s[2:-1]
-        last = s[3:]
+        near, third, last = s[1:-2] * n + s[2:-1], s[:-3], s[3:]
         starts = np.cumsum([0, *(3 + len(docs[i]) for i in full)])[:-1]
         ends = starts + [len(docs[i]) for i in full]
         edges = np.stack([starts, np.minimum(ends, len(last))], 1).reshape(-1)
         if edges[-1] == len(last):
             edges = edges[:-1]
-        for k, (index, bits) in enumerate(self.tables()):
-            cost = bits[index[context] + last]
+        for k, (block, row, bits) in enumerate(self.tables()):
+            cost = bits[row[block[near] + third] + last]
             out[full, k] = np.add.reduceat(cost, edges, dtype=np.float64)[::2]
         return out
 
 
-def sample(docs: DataFrame, per_language: int, max_bytes: int, salt: int = 17, max_languages: int = 1000) -> dict[str, list[bytes]]:
-    """At most per_language texts of each language, drawn evenly by a hash of the id; of a longer text its
-    first max_bytes, without a last character cut in two. Null and empty texts take no part: what reaches the driver is bounded by max_languages x per_language x max_bytes. The rate for
-    each language comes from its count, so about four times as many rows as wanted meet for ranking,
+def sample(docs: DataFrame, per_language: int, max_bytes: int, most_bytes: int = 1 << 20, salt: int = 17, max_languages: int = 500) -> dict[str, list[bytes]]:
+    """At most per_language texts and about most_bytes of each language, drawn evenly by a hash of id and text; of a
+    text longer than max_bytes a window of that size at a drawn place, without characters cut in two. Null and
+    empty texts take no part. What reaches the driver is bounded by max_languages x (most_bytes + max_bytes). The
+    rate for each language comes from its count, so about four times as many rows as wanted meet for ranking,
     however many the table has. More than max_languages labels are an error."""
     docs = docs.where("lang is not null and octet_length(text) > 0")
     counts = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).limit(max_languages + 1).collect()
@@ -129,12 +139,17 @@ def sample(docs: DataFrame, per_language: int, max_bytes: int, salt: int = 17, m
     if not counts:
         return {}
     rate = F.create_map(*chain.from_iterable((F.lit(r.lang), F.lit(min(1.0, 4.0 * per_language / r._n))) for r in counts))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    piece = F.substring(F.col("text").cast("binary"), 1, max_bytes).alias("text")
+    # rows that share or lack an id are told apart by size and a stretch of their text
+    draw = F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.substring("text", 1, 64), F.lit(salt)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    raw = F.col("text").cast("binary")
+    start = F.floor(F.greatest(F.octet_length("text") - max_bytes, F.lit(0)) * F.pmod(F.xxhash64("doc_id", F.lit(salt + 1)), F.lit(1 << 20)) / F.lit(1 << 20)).cast("int")
+    piece = F.substring(raw, start + 1, F.lit(max_bytes)).alias("text")
     picked = docs.withColumn("_u", draw).where(F.col("_u") <= F.element_at(rate, F.col("lang"))).select("lang", piece, "_u", "doc_id")
-    first = picked.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_u", "doc_id", "text"))).where(F.col("_r") <= per_language)
+    order = Window.partitionBy("lang").orderBy("_u", "doc_id", "text")
+    first = picked.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_language)
+    before = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)) - F.length("text")
     out: dict[str, list[bytes]] = {}
-    for r in first.select("lang", "text").collect():
+    for r in first.withColumn("_before", before).where(F.col("_before") < most_bytes).select("lang", "text").collect():
         out.setdefault(r.lang, []).append(bytes(r.text).decode(errors="ignore").encode())
     return out
 
