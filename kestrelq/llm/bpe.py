@@ -15,7 +15,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from concurrent.futures import Executor
+from concurrent.futures import Executor, ThreadPoolExecutor
 from functools import partial
 from itertools import chain
 
@@ -23,10 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, slices, texts
+from .common import claim, same_plan, slices, texts
 
 #: The pattern of this vocabulary family, a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: How files of this family prepare, split and merge text; fixed values.
+PLAN = {
+    "normalizer": None,
+    "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True},
+    "post_processor": None,
+    "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False},
+}
 _LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _SPACE = "\t\n\x0b\f\r \x85\xa0"
@@ -60,11 +67,16 @@ def byte_letters() -> dict[str, int]:
 
 
 class Coder:
-    def __init__(self, path: str, leaf: int = 32, cache_entries: int = 400_000):
+    def __init__(self, path: str, leaf: int = 32, cache_entries: int = 400_000, threads: int = 2, side_by_side: int = 1 << 16):
+        """Pieces of side_by_side characters or more have their halves encoded by this many threads."""
         import regex
 
+        self.threads, self.side_by_side = threads, side_by_side
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        if not same_plan(spec, PLAN):
+            raise ValueError(f"{path} does not split or merge text in the way that this encoder knows")
         letters = byte_letters()
         vocab = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -134,18 +146,28 @@ class Coder:
         return self.apart_cache[key]
 
     def tree(self, data: bytes, pool: Executor | None = None) -> list[int]:
-        """pool: halves of at least 64 leaves run side by side."""
+        """pool: the data is cut in two, four, eight, ... parts, as long as each has 512 leaves, whose trees are encoded
+        side by side and joined in pairs."""
+        if pool:
+            cuts = 1
+            while len(data) // (2 * cuts) >= 512 * self.leaf and cuts < 64:
+                cuts *= 2
+            size = -(-len(data) // cuts)
+            parts = list(pool.map(self.tree, [data[i : i + size] for i in range(0, len(data), size)]))
+            while len(parts) > 1:
+                pairs = list(zip(parts[::2], parts[1::2]))
+                parts = [*pool.map(lambda p: self.join(*p), pairs), *parts[len(pairs) * 2 :]]
+            return parts[0]
         if len(data) <= self.leaf:
             return self.merge(data)
         # levels from the leaves up, so depth never meets the interpreter's stack limit
         step = self.leaf
         leaves = [data[i : i + step] for i in range(0, len(data), step)]
-        run = pool.map if pool and len(leaves) >= 64 else map
-        parts = list(run(self.merge, leaves))
+        parts = list(map(self.merge, leaves))
         while len(parts) > 1:
             pairs = list(zip(parts[::2], parts[1::2]))
             rest = parts[len(pairs) * 2 :]
-            parts = [*(run if len(pairs) >= 64 else map)(lambda p: self.join(*p), pairs), *rest]
+            parts = [*(self.join(*p) for p in pairs), *rest]
         return parts[0]
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
@@ -164,6 +186,9 @@ class Coder:
     # texts
 
     def piece(self, text: str) -> tuple[int, ...]:
+        if len(text) >= self.side_by_side:
+            with ThreadPoolExecutor(self.threads) as pool:
+                return tuple(self.tree(text.encode(), pool))
         if len(text) > _LONG:
             return tuple(self.tree(text.encode()))
         found = self.pieces.get(text)

@@ -89,6 +89,15 @@ def claim(name: str, release: Callable[[], None]) -> None:
     _HELD[name] = release
 
 
+def same_plan(spec: dict, plan: dict) -> bool:
+    """Whether a tokenizer file prepares, splits and merges text just as `plan` says: a fast path that knows one way
+    of splitting must not serve another. Tokens beside the vocabulary must stand for themselves alone."""
+    plain = all(not t[k] for t in spec.get("added_tokens") or [] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    found = {k: spec.get(k) for k in ("normalizer", "pre_tokenizer", "post_processor")}
+    found["model"] = {k: v for k, v in (spec.get("model") or {}).items() if k not in ("vocab", "merges")}
+    return plain and found == plan
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_rows: int = 4096, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most max_rows rows and, but for a single longer text, max_bytes of text."""
     for batch in batches:

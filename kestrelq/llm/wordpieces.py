@@ -3,24 +3,38 @@
 The vocabulary's splitter cuts text into words, digits and runs of marks, and the ids of a text are
 those of its pieces in turn. Pieces repeat; a bounded cache holds their ids. Texts that are not
 plain Latin-1, or hold a special token's string or a separator that the two regex dialects treat
-differently, go to the library whole.
+differently, go to the library whole. So does every text where the file splits in another way.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from itertools import chain
 
 import numpy as np
 
-from .common import claim
+from .common import claim, same_plan
 
 _LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _SPACE = "\t\n\x0b\f\r \x85\xa0"
 # letters first, as the most common; no other kind begins with a letter
 _PIECES = re.compile(rf"[{_LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
+#: How files of this family prepare, split and merge text; fixed values.
+PLAN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False},
+}
 _ODD = re.compile("[\x1c-\x1f]")
 _LONG = 64
 
@@ -47,6 +61,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.known = same_plan(json.load(f), PLAN)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.special = tuple(str(t) for t in (x.content for x in self.tokenizer.get_added_tokens_decoder().values()))
@@ -85,6 +101,8 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
+        if not self.known:
+            return [self._whole(t) for t in texts]
         split = [_PIECES.findall(t.lower()) if self._plain(t) else None for t in texts]
         known = self.pieces
         pieces = set(chain.from_iterable(x for x in split if x))

@@ -426,6 +426,34 @@ def test_plans_are_never_worse_than_best_fit():
         assert total(packing.plan(Counter(lengths), 20)) == want
 
 
+def test_files_that_split_otherwise_are_not_taken_for_known(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    path = bpe.default_vocabulary()
+    text = "Hello World again, it's 2024"
+    other = wordpieces.WordEncoder(path)
+    assert not other.known and wordpieces.WordEncoder(wordpieces.default_vocabulary()).known
+    assert np.frombuffer(other.encode([text])[0], "<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="does not split"):
+        bpe.Coder(str(tmp_path / "other.json"))
+
+
+def test_halves_side_by_side_are_exact():
+    from tokenizers import Tokenizer
+
+    path = bpe.default_vocabulary()
+    tok, c = Tokenizer.from_file(path), bpe.Coder(path, side_by_side=3000)
+    rng = random.Random(5)
+    for text in ("a" * 70_000, "".join(rng.choice("abcdeéß漢") for _ in range(90_000)), "xyz " * 9000, "-=" * 40_000):
+        assert c.encode(text) == tok.encode(text, add_special_tokens=False).ids
+
+
 def test_bpe_is_the_library(spark, docs, rows):
     from tokenizers import Tokenizer
 
