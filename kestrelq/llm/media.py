@@ -5,12 +5,14 @@ one quantised coefficient of it (the format's own unit), in scan order. The Huff
 coefficient of s bits a code of 9 - s bits (differences of the first: 10 - s), so every block takes
 the same number of bits and whole frames pack and unpack by array operations; the streams stay
 baseline JPEG. Reading parses the RIFF tree and its index, decodes the intra frames, and cuts clips
-where the histogram difference of neighbouring frames stands out from those before it.
+where the histogram difference of neighbouring frames stands out from those before it. A text of any
+length up to RIFF's 4 GB takes memory for itself, its file and some frames.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -26,6 +28,7 @@ from .common import slices, texts
 UNIT = 64
 FRAME_BLOCKS = 64
 FPS = 25
+GROUP = 64  # frames encoded or decoded at a time
 
 
 def zigzag() -> np.ndarray:
@@ -106,9 +109,12 @@ def write_avi(payload: bytes, fps: int = FPS) -> bytes:
     per = min(len(units), FRAME_BLOCKS)
     width, height = (64, 64) if per == FRAME_BLOCKS else (8 * per, 8)
     frames = -(-len(units) // per)
-    full = np.zeros((frames * per, UNIT), np.uint8)
-    full[: len(units)] = units
-    coded = encode_frames(full.reshape(frames, per, UNIT), width, height)
+    coded = []
+    for f in range(0, frames, GROUP):
+        part = units[f * per : min(frames, f + GROUP) * per]
+        if len(part) % per:
+            part = np.concatenate([part, np.zeros((-len(part) % per, UNIT), np.uint8)])
+        coded += encode_frames(part.reshape(-1, per, UNIT), width, height)
     most = max(map(len, coded))
     avih = struct.pack("<14I", 1_000_000 // fps, most * fps, 0, 0x10, frames, 0, 1, most, width, height, 0, 0, 0, 0)
     strh = struct.pack("<4s4sIHHIIIIIIIIhhhh", b"vids", b"MJPG", 0, 0, 0, 0, 1, fps, 0, frames, most, 0xFFFFFFFF, 0, 0, 0, width, height)
@@ -143,7 +149,7 @@ class Avi:
 
     def __init__(self, raw: bytes):
         data = memoryview(raw)
-        (kind, a, b), *_ = riff(data)
+        kind, a, b = next(riff(data), (b"", 0, 0))
         if kind != b"AVI ":
             raise ValueError("not an AVI file")
         self.payload_bytes: int | None = None
@@ -211,58 +217,108 @@ def _fields(bits: np.ndarray, width: int) -> np.ndarray:
     return np.packbits(wide, axis=-1).view(">u2")[..., 0]
 
 
+#: The tables of frames without any of their own, as motion-JPEG files leave them out (ISO 10918-1, annex K; fixed
+#: values): numbers of codes by length, and symbols in order, of which the last ones ascend.
+_DC_LENGTHS = ((0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0), (0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0))
+_AC_LENGTHS = ((0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125), (0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119))
+_AC_FIRST = (
+    "01 02 03 00 04 11 05 12 21 31 41 06 13 51 61 07 22 71 14 32 81 91 a1 08 23 42 b1 c1 15 52 d1 f0 24 33 62 72 82 09 0a",
+    "00 01 02 03 11 04 05 21 31 06 12 41 51 07 61 71 13 22 32 81 08 14 42 91 a1 b1 c1 09 23 33 52 f0 15 62 72 d1 0a 16 24 34 e1 25 f1",
+)
+
+
+@lru_cache(maxsize=1)
+def default_tables() -> dict[int, _Tables]:
+    """By class and number, as frames name them: luma's are 0, colours' are 1."""
+    out = {}
+    every = [run << 4 | size for run in range(16) for size in range(1, 11)]
+    for i in range(2):
+        first = [int(x, 16) for x in _AC_FIRST[i].split()]
+        out[i] = _table(bytes(_DC_LENGTHS[i]) + bytes(range(12)))
+        out[0x10 | i] = _table(bytes(_AC_LENGTHS[i]) + bytes([*first, *(x for x in every if x not in first)]))
+    return out
+
+
 def decode_coefficients(jpeg: bytes) -> tuple[np.ndarray, int, int, np.ndarray]:
-    """Quantised coefficients (blocks, 64) in scan order, width, height, quantiser, of a baseline frame of
-    one component."""
-    at, tables, quant, width, height = 2, {}, {}, 0, 0
+    """Quantised coefficients (blocks, 64) in scan order, width, height, quantiser, of a baseline frame's first
+    component, which is luma: grey frames, and colour frames of any sampling in one scan, whose blocks come unit by
+    unit. Restart markers and missing tables are allowed."""
+    at, tables, quant, width, height, restart = 2, dict(default_tables()), {}, 0, 0, 0
     if jpeg[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG frame")
-    which = (0, 0, 0)
+    parts: list[tuple[int, int, int, int]] = []  # id, blocks across and down, quantiser
     while True:
+        if at + 4 > len(jpeg) or jpeg[at] != 0xFF:
+            raise ValueError("a frame's header ends early")
         marker, size = jpeg[at + 1], struct.unpack_from(">H", jpeg, at + 2)[0]
         body = jpeg[at + 4 : at + 2 + size]
         at += 2 + size
         if marker == 0xDB:
             while body:
-                quant[body[0] & 15] = np.frombuffer(body[1:65], np.uint8).astype(np.int32)
-                body = body[65:]
+                wide = body[0] >> 4
+                quant[body[0] & 15] = np.frombuffer(body[1 : 65 + 64 * wide], ">u2" if wide else np.uint8).astype(np.int32)
+                body = body[65 + 64 * wide :]
         elif marker == 0xC4:
             while body:
                 n = 17 + sum(body[1:17])
                 tables[body[0]] = _table(body[1:n])
                 body = body[n:]
+        elif marker == 0xDD:
+            restart = struct.unpack(">H", body)[0]
         elif marker == 0xC0:
             height, width = struct.unpack_from(">HH", body, 1)
-            if body[5] != 1:
-                raise ValueError("only frames of one component are read")
-            which = (which[0], which[1], body[8])
-        elif 0xC1 <= marker <= 0xCF:
+            parts = [(body[i], body[i + 1] >> 4, body[i + 1] & 15, body[i + 2]) for i in range(6, 6 + 3 * body[5], 3)]
+        elif 0xC1 <= marker <= 0xCF and marker != 0xC8:
             raise ValueError("only baseline frames are read")
         elif marker == 0xDA:
-            dc, ac = tables[body[2] >> 4], tables[0x10 | body[2] & 15]
             break
-    n = -(-width // 8) * -(-height // 8)
-    data = jpeg[at : jpeg.rindex(b"\xff\xd9")].replace(b"\xff\0", b"\xff")
-    bits = np.unpackbits(np.frombuffer(data, np.uint8))
-    out = np.zeros((n, 64), np.int32)
-    if dc.width and ac.width:
+    if not parts or not width or not height or any(not 1 <= x <= 4 for _, h, v, _ in parts for x in (h, v)):
+        raise ValueError("a frame without a size")
+    if body[0] != len(parts):
+        raise ValueError("only frames of one scan are read")
+    named = {body[1 + 2 * i]: body[2 + 2 * i] for i in range(body[0])}
+    use = [(tables[named[p[0]] >> 4], tables[0x10 | named[p[0]] & 15]) for p in parts]
+    if len(parts) == 1:
+        parts = [(parts[0][0], 1, 1, parts[0][3])]  # one component is never in units
+    across, down = (-(-size // (8 * max(p[k] for p in parts))) for size, k in ((width, 1), (height, 2)))
+    units = across * down
+    order = [i for i, (_, h, v, _) in enumerate(parts) for _ in range(h * v)]
+    end = jpeg.rindex(b"\xff\xd9")
+    data = jpeg[at:end]
+    dc, ac = use[0]
+    if len(parts) == 1 and not restart and dc.width and ac.width:
         block = dc.width + 63 * ac.width
-        bits = bits[: n * block].reshape(n, block)
+        bits = np.unpackbits(np.frombuffer(data.replace(b"\xff\0", b"\xff"), np.uint8))[: units * block]
+        if len(bits) < units * block:
+            raise ValueError("a frame ends early")
+        bits = bits.reshape(units, block)
+        out = np.zeros((units, 64), np.int32)
         out[:, 0] = np.cumsum(dc.flat[_fields(bits[:, : dc.width], dc.width)])
-        out[:, 1:] = ac.flat[_fields(bits[:, dc.width :].reshape(n, 63, ac.width), ac.width)]
-    else:
-        _decode_serial(bits.tolist(), dc, ac, out)
-    return out, width, height, quant[which[2]]
-
-
-def _decode_serial(bits: list[int], dc: _Tables, ac: _Tables, out: np.ndarray) -> None:
-    """Any Huffman tables, symbol by symbol."""
+        out[:, 1:] = ac.flat[_fields(bits[:, dc.width :].reshape(units, 63, ac.width), ac.width)]
+        return out, width, height, quant[parts[0][3]]
+    out = np.zeros((units * len(order), 64), np.int32)
+    stretches = re.split(rb"\xff[\xd0-\xd7]", data) if restart else [data]
+    step = restart or units
+    if len(stretches) < -(-units // step):
+        raise ValueError("a frame ends early")
+    for k, stretch in enumerate(stretches[: -(-units // step)]):
+        bits = np.unpackbits(np.frombuffer(stretch.replace(b"\xff\0", b"\xff"), np.uint8)).tolist()
+        rows = out[k * step * len(order) : (k + 1) * step * len(order)]
+        _decode_serial(bits, use, order, rows)
+    own = np.tile(np.array(order) == 0, units)
+    return out[own], width, height, quant[parts[0][3]]
+
+
+def _decode_serial(bits: list[int], use: list[tuple[_Tables, _Tables]], order: list[int], out: np.ndarray) -> None:
+    """Any Huffman tables, symbol by symbol. order: the component of each block of a unit."""
     at = 0
 
     def symbol(codes: dict[tuple[int, int], int]) -> int:
         nonlocal at
         code = 0
         for length in range(1, 17):
+            if at >= len(bits):
+                raise ValueError("a frame ends early")
             code = code << 1 | bits[at]
             at += 1
             if (length, code) in codes:
@@ -272,15 +328,17 @@ def _decode_serial(bits: list[int], dc: _Tables, ac: _Tables, out: np.ndarray) -
     def extra(s: int) -> int:
         nonlocal at
         x = 0
-        for _ in range(s):
-            x = x << 1 | bits[at]
-            at += 1
+        for b in bits[at : at + s]:
+            x = x << 1 | b
+        at += s
         return x if not s or x >= 1 << s - 1 else x - (1 << s) + 1
 
-    last = 0
-    for block in out:
-        last += extra(symbol(dc.codes))
-        block[0] = last
+    last = [0] * len(use)
+    for i, block in enumerate(out):
+        which = order[i % len(order)]
+        dc, ac = use[which]
+        last[which] += extra(symbol(dc.codes))
+        block[0] = last[which]
         k = 1
         while k < 64:
             s = symbol(ac.codes)
@@ -288,6 +346,8 @@ def _decode_serial(bits: list[int], dc: _Tables, ac: _Tables, out: np.ndarray) -
                 break
             k += s >> 4
             if s & 15:
+                if k > 63:
+                    raise ValueError("a block runs over its end")
                 block[k] = extra(s & 15)
             k += 1
 
@@ -320,27 +380,28 @@ def shots(histograms: np.ndarray, window: int = 12, sigmas: float = 3.0, floor:
 
 
 class Decoded:
-    """A stored file read back: the payload, frame histograms and clips."""
+    """A stored file read back, some frames at a time: the payload, frame histograms and clips."""
 
     def __init__(self, raw: bytes):
         avi = Avi(raw)
-        coefficients, quants, sizes = [], [], []
-        for f in avi.frames:
-            c, w, h, q = decode_coefficients(bytes(f))
-            coefficients.append(c)
-            quants.append(q)
-            sizes.append((w, h))
-        every = np.concatenate(coefficients) if coefficients else np.zeros((0, 64), np.int32)
-        self.payload = (every + (every < 0) + 127).astype(np.uint8).tobytes()[: avi.payload_bytes]
-        counts = [len(c) for c in coefficients]
-        per_block = np.repeat(np.array(quants).reshape(-1, 64), counts, axis=0)
-        samples = pixels(every, per_block)
-        owner = np.repeat(np.arange(len(counts)), counts)[:, None]
-        self.histograms = np.bincount((owner * 16 + (samples >> 4)).reshape(-1), minlength=16 * len(counts)).reshape(-1, 16)
-        self.luma = [int(s.sum()) // max(1, s.size) for s in np.split(samples, np.cumsum(counts)[:-1])] if counts else []
+        payload, histograms, self.luma = bytearray(), [np.zeros((0, 16), np.int64)], []
+        for a in range(0, len(avi.frames), GROUP):
+            coefficients, quants = [], []
+            for f in avi.frames[a : a + GROUP]:
+                c, _, _, q = decode_coefficients(bytes(f))
+                coefficients.append(c)
+                quants.append(q)
+            every, counts = np.concatenate(coefficients), [len(c) for c in coefficients]
+            payload += (every + (every < 0) + 127).astype(np.uint8).tobytes()
+            samples = pixels(every, np.repeat(np.array(quants).reshape(-1, 64), counts, axis=0))
+            owner = np.repeat(np.arange(len(counts)), counts)[:, None]
+            histograms.append(np.bincount((owner * 16 + (samples >> 4)).reshape(-1), minlength=16 * len(counts)).reshape(-1, 16))
+            self.luma += [int(s.sum()) // max(1, s.size) for s in np.split(samples, np.cumsum(counts)[:-1])]
+        self.payload = bytes(payload[: avi.payload_bytes])
+        self.histograms = np.concatenate(histograms)
         self.starts, self.differences = shots(self.histograms)
         self.frame_us = avi.frame_us
-        self.frames = len(counts)
+        self.frames = len(avi.frames)
 
     def clips(self) -> list[tuple[int, int, int, int, int]]:
         """(clip, first frame, frames, start and end in milliseconds)."""
@@ -364,11 +425,24 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(media, pa.binary())], names=["doc_id", "media"])
 
 
+_CLIPS = "doc_id long, clip long, first_frame long, n_frames long, start_ms long, end_ms long, error string"
+#: What a file that isn't as it should be raises on the way.
+_BROKEN = (ValueError, KeyError, IndexError, struct.error, OverflowError)
+
+
 def _clips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "media", max_rows=64):
-        rows = [(key, *clip) for key, raw in zip(batch.column("doc_id").to_pylist(), batch.column("media").to_pylist()) if raw for clip in Decoded(raw).clips()]
-        columns = list(zip(*rows)) or [()] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "clip", "first_frame", "n_frames", "start_ms", "end_ms"])
+        rows: list[tuple] = []
+        for key, raw in zip(batch.column("doc_id").to_pylist(), batch.column("media").to_pylist()):
+            if raw is None:
+                continue
+            try:
+                rows += [(key, *clip, None) for clip in Decoded(raw).clips()]
+            except _BROKEN as e:
+                rows.append((key, None, None, None, None, None, str(e) or type(e).__name__))
+        columns = list(zip(*rows)) or [()] * 7
+        kinds = [pa.string() if x.endswith("string") else pa.int64() for x in _CLIPS.split(", ")]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[x.split()[0] for x in _CLIPS.split(", ")])
 
 
 _DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_clips long"
@@ -398,8 +472,9 @@ def stored(docs: DataFrame) -> DataFrame:
 
 
 def clips(media: DataFrame) -> DataFrame:
-    """One timed row for each clip of the files in column media (doc_id, media); null media has none."""
-    return media.select("doc_id", "media").mapInArrow(_clips, "doc_id long, clip long, first_frame long, n_frames long, start_ms long, end_ms long")
+    """One timed row for each clip of the files in column media (doc_id, media); null media has none. A file that
+    can't be read has one row, with its error in place of clips. Luma alone decides about clips."""
+    return media.select(F.col("doc_id").cast("long"), "media").mapInArrow(_clips, _CLIPS)
 
 
 def digest(docs: DataFrame) -> DataFrame:

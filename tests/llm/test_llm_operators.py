@@ -722,7 +722,7 @@ def test_serial_decoding_agrees_and_pixels_are_a_cosine_transform():
     dc = media._Tables(bytes([1] * 10 + [0] * 6) + bytes(range(9, -1, -1)))
     ac = media._Tables(bytes([1] * 8 + [0] * 8) + bytes(range(8, 0, -1)))
     slow = np.zeros((12, 64), np.int32)
-    media._decode_serial(bits, dc, ac, slow)
+    media._decode_serial(bits, [(dc, ac)], [0], slow)
     assert (fast == slow).all() and (width, height) == (96, 8)
     x = np.arange(8)
     basis = np.array([[np.cos((2 * i + 1) * u * np.pi / 16) * (0.5 if u else 0.5**1.5) for u in range(8)] for i in x])
@@ -732,6 +732,91 @@ def test_serial_decoding_agrees_and_pixels_are_a_cosine_transform():
     assert np.abs(media.pixels(fast, np.tile(quant, (12, 1))).reshape(-1, 8, 8) - want).max() <= 1
 
 
+def colour_frame(rng, width, height, restart, tables=None):
+    """A baseline 4:2:0 frame by the rules of the format, and its luma blocks: random coefficients, no DHT segment."""
+    code_of = {k: {s: (length, code) for (length, code), s in t.codes.items()} for k, t in media.default_tables().items()}
+    units = -(-width // 16) * -(-height // 16)
+    luma, data, bits, last = [], b"", "", [0, 0, 0]
+
+    def put(kind, symbol, value=0, size=0):
+        nonlocal bits
+        length, code = code_of[kind][symbol]
+        bits += format(code, f"0{length}b")
+        if size:
+            bits += format(value if value > 0 else value + (1 << size) - 1, f"0{size}b")
+
+    def flush():
+        nonlocal bits, data
+        bits += "1" * (-len(bits) % 8)
+        data += bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\0")
+        bits = ""
+
+    for unit in range(units):
+        if restart and unit and unit % restart == 0:
+            flush()
+            data += bytes([0xFF, 0xD0 + (unit // restart - 1) % 8])
+            last = [0, 0, 0]
+        for part in (0, 0, 0, 0, 1, 2):
+            block = np.where(rng.random(64) < 0.15, rng.integers(-300, 300, 64), 0)
+            block[0] = rng.integers(-500, 500)
+            if part == 0:
+                luma.append(block)
+            kind = int(part > 0)
+            diff = int(block[0]) - last[part]
+            last[part] = int(block[0])
+            put(kind, abs(diff).bit_length(), diff, abs(diff).bit_length())
+            run = 0
+            for v in map(int, block[1:]):
+                if v == 0:
+                    run += 1
+                    continue
+                while run > 15:
+                    put(0x10 | kind, 0xF0)
+                    run -= 16
+                put(0x10 | kind, run << 4 | abs(v).bit_length(), v, abs(v).bit_length())
+                run = 0
+            if run:
+                put(0x10 | kind, 0)
+    flush()
+    segment = media._segment
+    import struct
+
+    head = segment(0xDB, b"\0" + b"\1" * 64 + b"\1" + b"\2" * 64) + segment(0xC0, struct.pack(">BHHB", 8, height, width, 3) + b"\1\x22\0\2\x11\1\3\x11\1")
+    head += (segment(0xDD, struct.pack(">H", restart)) if restart else b"") + segment(0xDA, b"\3\1\0\2\x11\3\x11\0\x3f\0")
+    return b"\xff\xd8" + head + data + b"\xff\xd9", np.array(luma)
+
+
+def test_colour_frames_default_tables_and_restarts():
+    rng = np.random.default_rng(8)
+    for width, height, restart in ((32, 32, 0), (50, 20, 0), (64, 48, 2), (64, 48, 5), (16, 16, 1)):
+        frame, luma = colour_frame(rng, width, height, restart)
+        found, w, h, quant = media.decode_coefficients(frame)
+        assert (w, h) == (width, height) and (found == luma).all() and (quant == 1).all()
+
+
+def test_broken_files_are_rows_with_an_error(spark):
+    good = media.write_avi(bytes(range(256)) * 64)
+    files = [(1, good), (2, b""), (3, b"RIFF"), (4, good[: len(good) // 2]), (5, b"x" * 100), (6, None), (7, good.replace(b"\xff\xc0", b"\xff\xc2")), (8, good[:400] + bytes(len(good) - 400))]
+    df = spark.createDataFrame(files, "doc_id long, media binary")
+    got = defaultdict(list)
+    for r in media.clips(df).collect():
+        got[r.doc_id].append(r)
+    assert set(got) == {1, 2, 3, 4, 5, 7, 8}
+    assert all(r.error is None for r in got[1]) and sum(r.n_frames for r in got[1]) == 4
+    assert all(len(got[k]) == 1 and got[k][0].error and got[k][0].clip is None for k in (2, 3, 4, 5, 7, 8))
+
+
+def test_long_texts_take_little_memory():
+    import tracemalloc
+
+    payload = media.payload_of("some text that is long " * 300_000)[0]
+    tracemalloc.start()
+    back = media.Decoded(media.write_avi(payload))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert back.payload == payload and peak < 12 * len(payload)
+
+
 def test_shots_are_found():
     hist = np.zeros((40, 16), int)
     hist[:15, 2], hist[15:30, 9], hist[30:, 12] = 64, 64, 64
