@@ -149,9 +149,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_packed(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, segment_bytes: int = 8 << 20) -> None:
     """Writes documents (doc_id, text) as segments under path, in ascending doc_id order (nulls
-    first, equal ids by text). A range shuffle orders the texts once; each task then encodes and
+    first, equal ids by a hash of their text, so one id's rows may be in several ranges). A range shuffle orders
+    the texts once; each task then encodes and
     packs its own range, holding one segment at a time. Null text: only the end id."""
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    ordered = rows.withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
     ordered.mapInArrow(partial(_pack, path=tokenizer, end_id=end_id, segment_bytes=segment_bytes), "part int, seg int, n_docs long, n_ids long, payload binary").write.parquet(path)
 
 
