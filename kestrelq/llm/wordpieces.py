@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 
@@ -104,17 +104,21 @@ class WordEncoder:
         if not self.known:
             return [self._whole(t) for t in texts]
         split = [_PIECES.findall(t.lower()) if self._plain(t) else None for t in texts]
-        known = self.pieces
-        pieces = set(chain.from_iterable(x for x in split if x))
-        missing = [p for p in pieces if p not in known]
+        get = self.pieces.get
+        found = [x and list(map(get, x)) for x in split]
+        holes = [[i for i, ids in enumerate(f) if ids is None] if f else () for f in found]
+        missing = list(dict.fromkeys(x[i] for x, hs in zip(split, holes) for i in hs))
         if missing:
-            if len(known) + len(missing) > self.cache_entries:
-                known = self.pieces = {}
-                missing = list(pieces)
+            if len(self.pieces) + len(missing) > self.cache_entries:
+                # words met first are the most frequent ones: a quarter of the cache stays
+                self.pieces = dict(islice(self.pieces.items(), self.cache_entries // 4))
             self._learn(missing)
-        get = known.__getitem__
-        out = [self._whole(t) if x is None else b"".join(map(get, x)) for t, x in zip(texts, split)]
+            known = self.pieces
+            for x, f, hs in zip(split, found, holes):
+                for i in hs:
+                    f[i] = known[x[i]]
+        out = [self._whole(t) if x is None else b"".join(f) for t, x, f in zip(texts, split, found)]
         for p in self.long:
-            known.pop(p, None)
+            self.pieces.pop(p, None)
         self.long.clear()
         return out
