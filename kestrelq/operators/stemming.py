@@ -6,6 +6,7 @@ terms and not texts.
 
 from __future__ import annotations
 
+import bisect
 import re
 from functools import lru_cache
 
@@ -110,23 +111,47 @@ def search(docs: DataFrame, word: str, id_: str = "doc_id", text: str = "text")
     return found.join(forms, "term").groupBy(id_).agg(F.sum("tf").alias("hits"))
 
 
+#: What a window's words count: the first of each, each repeat, and a start at the text's or at another sentence's begin.
+_WORD, _REPEAT, _TEXT, _SENTENCE = 1000, 1, 120, 100
+_SENTENCE_END = re.compile(r"[.:][ \t\n\r]+$")
+
+
+def _window(hits: list[tuple[int, str]], sentences: list[int], tokens: int, size: int) -> int:
+    """Where the best stretch of `size` tokens begins. A stretch from a hit on is shown with its hits in the middle; one
+    from the begin of a hit's sentence is shown as it is and is worth more. The first of equals wins."""
+    at = [i for i, _ in hits]
+
+    def worth(start: int) -> tuple[int, int]:
+        inside = hits[bisect.bisect_left(at, start) : bisect.bisect_left(at, start + size)]
+        kinds = len({w for _, w in inside})
+        wide = inside[-1][0] + 1 - inside[0][0]
+        return kinds * _WORD + (len(inside) - kinds) * _REPEAT, max(0, min(inside[0][0] - (size - wide) // 2, tokens - size))
+
+    best, shown = 0, 0
+    for i in at:
+        score, middle = worth(i)
+        if score > best:
+            best, shown = score, middle
+        start = sentences[bisect.bisect_right(sentences, i) - 1]
+        if tokens > size and start < i < start + size:
+            score = worth(start)[0] + (_SENTENCE if start else _TEXT)
+            if score > best:
+                best, shown = score, start
+    return shown
+
+
 def snippet(text: Column, words: list[str], before: str = "[", after: str = "]", ellipsis: str = "...", size: int = 16) -> Column:
-    """The stretch of `size` terms with most distinct words, then most hits, then a sentence start, then
-    the first; hits are marked, and cut ends have an ellipsis. Null for null; the beginning without a hit."""
+    """The best stretch of `size` terms (see _window; a sentence begins behind a full stop or a colon and white space),
+    its hits marked, with an ellipsis at cut ends. Null for null; the beginning without a hit."""
     wanted = {w.lower() for w in words}
     term = re.compile(r"[^\W_]+")
 
     def one(t: str) -> str:
         spans = [m.span() for m in term.finditer(t)]
-        hit = [i for i, (a, b) in enumerate(spans) if t[a:b].lower() in wanted]
-        best, start = (0, 0, 0), 0
-        for i in hit:
-            for at in {max(0, min(i, len(spans) - size)), max(0, i - size + 1)}:
-                inside = [j for j in hit if at <= j < at + size]
-                first = at == 0 or bool(re.search(r"[.!?]\s*$", t[: spans[at][0]][-4:]))
-                found = (len({t[slice(*spans[j])].lower() for j in inside}), len(inside), int(first))
-                if found > best or (found == best and at < start):
-                    best, start = found, at
+        hits = [(i, w) for i, (a, b) in enumerate(spans) if (w := t[a:b].lower()) in wanted]
+        hit = [i for i, _ in hits]
+        sentences = [0] + [i for i in range(1, len(spans)) if _SENTENCE_END.search(t, spans[i - 1][1], spans[i][0])]
+        start = _window(hits, sentences, len(spans), size)
         if not spans:
             return t
         end = min(start + size, len(spans))

@@ -128,7 +128,13 @@ def test_stems(spark):
 def test_snippet(spark):
     text = "one two three four five six. Seven eight nine ten fox dog eleven"
     cut = lambda t, *words, n=3: one(spark, stemming.snippet(F.lit(t).cast("string"), list(words), size=n))
-    assert cut(text, "fox", "dog") == "...ten [fox] [dog]..."
+    assert cut(text, "fox", "dog") == "...[fox] [dog] eleven"
+    assert cut(text, "fox") == "...ten [fox] dog..."  # a hit stands in the middle
+    assert cut(text, "fox", n=5) == "...Seven eight nine ten [fox]..."  # a sentence's begin that reaches the hit is worth more
+    assert cut(text, "nine", n=5) == "...Seven eight [nine] ten fox..."  # from the sentence's begin
+    assert cut(text, "three", "five", n=5) == "one two [three] four [five]..."
+    assert cut("What? yes! no, maybe so: here it stands now and then", "it", n=4) == "...here [it] stands now..."
+    assert cut("x y x z w v x x q", "x", n=3) == "[x] y [x]..."
     assert cut(text, "absent") == "one two three..."
     assert cut("a b", "b") == "a [b]" and cut("", "b") == "" and cut(None, "b") is None
 
