@@ -48,6 +48,32 @@ def test_interval_without_an_end(spark):
     assert got == [(-3.0, 2), (5.0, 1), (5.0, 2), (5.0, 3), (1e17, 1)]
 
 
+def test_interval_of_many_endless_spans(spark):
+    points = spark.range(20000).select(F.col("id").alias("i"), (F.col("id") % 5000 / 2).alias("p"))
+    spans = spark.range(60).select(F.col("id").alias("s"), (F.col("id") * 10).cast("double").alias("lo"), F.lit(float("inf")).alias("hi"))
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")  # as for large tables
+    try:
+        tasks = [r["count"] for r in joins.interval(points, spans, "p", "lo", "hi", 1).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set(key, before)
+    assert sum(tasks) == sum(4 * (5000 - 20 * s) for s in range(60))
+    assert max(tasks) < 0.5 * sum(tasks)  # not all points of one bucket in one task
+
+
+def test_interval_against_all_pairs(spark):
+    far, nan = float("inf"), float("nan")
+    values = [7.0] * 300 + [k / 8 for k in range(-400, 400)] + [far, -far, nan, 0.0, -0.0]
+    ends = [(-far, far), (7.0, 7.0), (6.9, 7.1), (nan, nan), (3.0, nan), (50.0, 60.0), (-90.0, -50.0), (2.0, 1.0), *((k / 3, k / 3 + 2.0 ** (k % 9 - 2)) for k in range(-150, 150))]
+    points = spark.createDataFrame(list(enumerate(values)), "i int, p double")
+    spans = spark.createDataFrame([(k, *e) for k, e in enumerate(ends)], "s int, lo double, hi double")
+    want = sorted(map(tuple, points.join(spans, F.col("p").between(F.col("lo"), F.col("hi"))).select("i", "s").collect()))
+    for size in ({}, {"buckets": 7, "rows": 10}, {"buckets": 1, "rows": 1}):
+        assert sorted(map(tuple, joins.interval(points, spans, "p", "lo", "hi", **size).select("i", "s").collect())) == want
+    assert joins.interval(points.limit(0), spans, "p", "lo", "hi").count() == joins.interval(points, spans.limit(0), "p", "lo", "hi").count() == 0
+
+
 def test_quantifiers_over_nothing_and_nulls(spark):
     outer = spark.createDataFrame([(1, 5), (2, 5), (3, 5), (4, None)], "k int, v int")
     inner = spark.createDataFrame([(1, 4), (1, None), (2, 4)], "k int, x int")
