@@ -134,9 +134,10 @@ def _interval(part, nation):
 
 @query("rtree_boxes", "SELECT a.c_custkey, b.s_suppkey FROM customer a JOIN supplier b ON abs(a.c_acctbal - b.s_acctbal) <= 20 AND a.c_nationkey = b.s_nationkey", "customer", "supplier")
 def _boxes(customer, supplier):
-    s = supplier.select("s_suppkey", "s_nationkey", (F.col("s_acctbal") - 20).alias("lo"), (F.col("s_acctbal") + 20).alias("hi"))
-    near = joins.interval(customer.select("c_custkey", "c_nationkey", "c_acctbal"), s, "c_acctbal", "lo", "hi", 40)
-    return near.where("c_nationkey = s_nationkey").select("c_custkey", "s_suppkey")
+    # spans a little too wide, since s_acctbal +- 20 is rounded; the difference itself decides
+    s = supplier.select("s_suppkey", "s_nationkey", "s_acctbal", (F.col("s_acctbal") - 21).alias("lo"), (F.col("s_acctbal") + 21).alias("hi"))
+    near = joins.interval(customer.select("c_custkey", "c_nationkey", "c_acctbal"), s, "c_acctbal", "lo", "hi")
+    return near.where("c_nationkey = s_nationkey AND abs(c_acctbal - s_acctbal) <= 20").select("c_custkey", "s_suppkey")
 
 
 @query("upsert_update", "SELECT coalesce(n.c_custkey, c.c_custkey) AS c_custkey, coalesce(n.bal, c.c_acctbal) AS c_acctbal FROM customer c FULL JOIN (SELECT c_custkey + 100 AS c_custkey, c_acctbal * 2 AS bal FROM customer) n ON c.c_custkey = n.c_custkey", "customer")

@@ -43,3 +43,23 @@ def test_query(spark, duck, name):
         assert rows(df.columns, got) == rows(names, want.fetchall())
     else:
         assert got
+
+
+def over(spark, folder, name, **tables):
+    """The query's rows and those of its SQL over tables given as SQL."""
+    con = duckdb.connect()
+    for t, text in tables.items():
+        con.execute(f"COPY ({text}) TO '{folder}/{t}.parquet'")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    df = registry.QUERIES[name](spark, str(folder))
+    want = con.execute(registry.ORACLES[name])
+    return rows(df.columns, df.collect()), rows([d[0] for d in want.description], want.fetchall())
+
+
+def test_boxes_at_their_edges(spark, tmp_path):
+    odd = "SELECT * FROM (VALUES {}) v(k, b)".format(", ".join(f"({1000000 + i}, {x}::DOUBLE)" for i, x in enumerate(("'inf'", "'-inf'", "'nan'", "NULL", "1e17", "1e17 + 16", "-0.0"))))
+    balances = "SELECT range AS k, round(range * {} % 9000 / 100, 2)::DOUBLE AS b FROM range({}) UNION ALL " + odd
+    customer = f"SELECT k AS c_custkey, CASE WHEN k = 3 THEN NULL ELSE k % 3 // 2 END::INTEGER AS c_nationkey, b AS c_acctbal FROM ({balances.format(7, 900)})"
+    supplier = f"SELECT k AS s_suppkey, (k % 2)::INTEGER AS s_nationkey, b AS s_acctbal FROM ({balances.format(11, 300)})"
+    got, want = over(spark, tmp_path, "rtree_boxes", customer=customer, supplier=supplier)
+    assert len(want) > 10000 and got == want
