@@ -128,10 +128,11 @@ def _unit(word: str) -> str:
     return word.lower().rstrip("s")
 
 
-def instant(x: Column, *modifiers: str) -> Column:
+def instant(x: Column, *modifiers: str, far: bool = False) -> Column:
     """A time value as a timestamp: `YYYY-MM-DD` with or without `HH:MM[:SS[.fff]]` (`T` or a blank between, `Z` or
     an offset behind), a time alone (on 2000-01-01), a Julian day number, or with a first modifier of unixepoch,
-    julianday or auto a number of that kind. Null for anything else."""
+    julianday or auto a number of that kind. Null for anything else, and for numbers outside the years 0000 to 9999,
+    or with `far` outside what a timestamp holds."""
     text = F.trim(x.cast("string"))
     zone = r"(?: ?(?:Z|z|[+-](?:0\d|1[0-4]):[0-5]\d))?"
     clock = r"(?:[01]\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:\.\d+)?)?"
@@ -146,8 +147,11 @@ def instant(x: Column, *modifiers: str) -> Column:
     plus = lambda base, micros: F.timestamp_micros(F.unix_micros(base) + micros)
     minute = shift.cast("long") * 60_000_000
     number = F.when(text.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)$"), text.try_cast("double"))
-    julian = F.when((number >= 0) & (number < 5373484.5), F.timestamp_micros(F.round((number - 2440587.5) * 86400e3).cast("long") * 1000))
-    epoch = F.when((number >= -62167219200) & (number <= 253402300799), F.timestamp_micros(F.round(number * 1e3).cast("long") * 1000))
+    # far: whole seconds that 64 bits of microseconds hold
+    early, late = (-9223372022400, 9223372036854) if far else (-62167219200, 253402300799)
+    days = ((number - 2440587.5) * 86400).between(early, late) if far else (number >= 0) & (number < 5373484.5)
+    julian = F.when(days, F.timestamp_micros(F.round((number - 2440587.5) * 86400e3).cast("long") * 1000))
+    epoch = F.when((number >= early) & (number <= late), F.timestamp_micros(F.round(number * 1e3).cast("long") * 1000))
     kind = modifiers[0].strip().lower() if modifiers else ""
     if kind == "unixepoch":
         out = epoch
@@ -166,22 +170,28 @@ def instant(x: Column, *modifiers: str) -> Column:
     return modified(out, *(m for m in rest if m.strip().lower() not in ("subsec", "subsecond")))
 
 
-def _shown(pattern: str, x: Column, modifiers: tuple[str, ...]) -> Column:
+def _shown(pattern: str, x: Column, modifiers: tuple[str, ...], far: bool) -> Column:
     fine = any(m.strip().lower() in ("subsec", "subsecond") for m in modifiers)
-    return F.date_format(instant(x, *modifiers), pattern + (".SSS" if fine and "s" in pattern else ""))
+    t, pattern = instant(x, *modifiers, far=far), pattern + (".SSS" if fine and "s" in pattern else "")
+    if not far or not pattern.startswith("yyyy"):
+        return F.date_format(t, pattern)
+    year = F.year(t)
+    digits = F.when(year.between(0, 9999), F.lpad(year.cast("string"), 4, "0")).otherwise(year.cast("string"))
+    return F.concat(digits, F.date_format(t, pattern.removeprefix("yyyy")))
 
 
-def date(x: Column, *modifiers: str) -> Column:
-    return _shown("yyyy-MM-dd", x, modifiers)
+def date(x: Column, *modifiers: str, far: bool = False) -> Column:
+    """YYYY-MM-DD; with `far` also years before 0000 and after 9999, with a minus or more digits."""
+    return _shown("yyyy-MM-dd", x, modifiers, far)
 
 
-def time(x: Column, *modifiers: str) -> Column:
+def time(x: Column, *modifiers: str, far: bool = False) -> Column:
     """HH:MM:SS, with milliseconds after a modifier of subsec."""
-    return _shown("HH:mm:ss", x, modifiers)
+    return _shown("HH:mm:ss", x, modifiers, far)
 
 
-def datetime(x: Column, *modifiers: str) -> Column:
-    return _shown("yyyy-MM-dd HH:mm:ss", x, modifiers)
+def datetime(x: Column, *modifiers: str, far: bool = False) -> Column:
+    return _shown("yyyy-MM-dd HH:mm:ss", x, modifiers, far)
 
 
 def octet_length(x: Column) -> Column:

@@ -4,7 +4,9 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from kestrelq.functions import lenient
 from kestrelq.plans import registry
 
 registry.load()
@@ -63,3 +65,19 @@ def test_boxes_at_their_edges(spark, tmp_path):
     supplier = f"SELECT k AS s_suppkey, (k % 2)::INTEGER AS s_nationkey, b AS s_acctbal FROM ({balances.format(11, 300)})"
     got, want = over(spark, tmp_path, "rtree_boxes", customer=customer, supplier=supplier)
     assert len(want) > 10000 and got == want
+
+
+def test_numbers_past_the_year_9999(spark, tmp_path):
+    keys = (0, 1, 2921938, 2921939, 2921940, 2932896, 2932897, 2932898, 2932932, 2932938, 8999999, 30000000, -365, -600000)
+    orders = "SELECT k::BIGINT AS o_orderkey FROM (VALUES (NULL), {}) v(k)".format(", ".join(f"({k})" for k in keys))
+    got, want = over(spark, tmp_path, "time_from_numbers", orders=orders)
+    assert got == want
+
+
+def test_far_years_only_where_asked(spark):
+    row = spark.range(1).select(
+        lenient.datetime(F.lit(5373484)).alias("a"), lenient.datetime(F.lit(5373485)).alias("b"), lenient.datetime(F.lit(5373485), far=True).alias("c"),
+        lenient.datetime(F.lit(253402300800), "unixepoch").alias("d"), lenient.date(F.lit(253402300800), "unixepoch", far=True).alias("e"),
+        lenient.datetime(F.lit(-62167219201), "unixepoch", far=True).alias("f"), lenient.datetime(F.lit("1e30")).alias("g"), lenient.datetime(F.lit(10**18), far=True).alias("h"), lenient.datetime(F.lit(10**18), "unixepoch", far=True).alias("i"),
+    )
+    assert tuple(row.first()) == ("9999-12-31 12:00:00", None, "10000-01-01 12:00:00", None, "10000-01-01", "-1-12-31 23:59:59", None, None, None)
